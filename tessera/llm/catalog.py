@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["format_dups"]
+MODULES = ["sentences", "format_dups"]
 
 
 def _modules() -> list:
