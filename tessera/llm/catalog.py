@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["sentences", "format_dups"]
+MODULES = ["sentences", "format_dups", "answers"]
 
 
 def _modules() -> list:
