@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["sentences", "format_dups", "near_dups", "answers", "abuse"]
+MODULES = ["sentences", "format_dups", "splitting", "clusters", "near_dups", "answers", "packing", "mixing", "abuse"]
 
 
 def _modules() -> list:
