@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.operators import orphans
+from tessera.plans import eval_queries, lift_queries, lift_sql
 
-MODULES = [orphans]
+MODULES = [orphans, lift_queries, eval_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,8 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
+    return orphans.SQL | lift_sql.SQL | eval_queries.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orphans.p3_report(spark, sf_dir)
+    return lift_queries.hypothesis_scores(spark, sf_dir)
