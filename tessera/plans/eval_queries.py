@@ -101,7 +101,7 @@ def streamed_scores(spark: SparkSession, d: str) -> DataFrame:
 
     query = running_scores(cells).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(latest).select("hyp_id", "model", "n", F.round("sum_log_lift", 6).alias("sum_log_lift"))
+    return spark.read.parquet(latest).select("hyp_id", "model", "n", (F.round("sum_log_lift", 6) + 0.0).alias("sum_log_lift"))
 
 
 def noise_injection(spark: SparkSession, d: str) -> DataFrame:
@@ -126,7 +126,7 @@ def _values(rows: list[tuple]) -> str:
 
 
 SQL = {
-    "streamed_scores": """select hyp_id, model, count(*) n, round(sum(log_lift), 6) sum_log_lift from
+    "streamed_scores": """select hyp_id, model, count(*) n, round(sum(log_lift), 6) + 0.0 sum_log_lift from
         (select hyp_id, dp_id, model, min(log_lift) log_lift from lift_cache where hyp_id is not null and dp_id is not null and model is not null group by all) group by all""",
     "safe_numbers": f"with r(i, raw) as (values {_values(list(enumerate(_NUMBERS)))}), x as (select i, try_cast(trim(raw) as double) v from r) select i::int i, case when v is null or isnan(v) or isinf(v) then 0.5 else v end \"value\" from x",
     "set_recall": f"""with p(case_id, m) as (values {_values(_PLANTED)}), f(case_id, m) as (values {_values(_FOUND)}),

@@ -139,7 +139,7 @@ def verdict_histogram(spark: SparkSession, d: str) -> Q:
 # ---------------------------------------------------------------------------------------------- matrix
 def hypothesis_scores(spark: SparkSession, d: str) -> Q:
     """Flagship: every hypothesis' score, verdict and counts, per model."""
-    return matrix.hypothesis_scores(_weighted(spark, d)).withColumn("score", F.round("score", 6))
+    return matrix.hypothesis_scores(_weighted(spark, d)).withColumn("score", F.round("score", 6) + 0.0)
 
 
 def best_worst_cells(spark: SparkSession, d: str) -> Q:

@@ -101,7 +101,7 @@ SQL = {
     "verdict_histogram": f"with {CELLS} select model, verdict, count(*) n from cells group by all",
     "hypothesis_scores": f"""with {POINTS}, {CRED}, {CELLS}, g as (select hyp_id, model, sum(log_lift * coalesce(cred, 1.0)) score, count(*) n, count(*) filter ({_SUP}) n_supporting, count(*) filter ({_CON}) n_contradicting
         from cells c left join cred using (dp_id) group by all)
-        select hyp_id, model, round(score, 6) score, n, n_supporting, n_contradicting, n - n_supporting - n_contradicting n_neutral, {_verdict('round(score / greatest(n, 1), 9)')} verdict from g""",
+        select hyp_id, model, round(score, 6) + 0.0 score, n, n_supporting, n_contradicting, n - n_supporting - n_contradicting n_neutral, {_verdict('round(score / greatest(n, 1), 9)')} verdict from g""",
     "best_worst_cells": f"""with {CELLS} select hyp_id, model, arg_min(dp_id, (log_lift, dp_id)) worst_dp, round(min(log_lift), 6) worst, arg_min(dp_id, (-log_lift, dp_id)) best_dp, round(max(log_lift), 6) best from cells group by all""",
     "diagnosticity": f"with {CELLS} select dp_id, model, round(coalesce(var_pop(log_lift), 0), 6) diagnosticity, count(*) n_hyps from cells group by all",
     "diagnosticity_top": f"with {CELLS} select dp_id, model, round(coalesce(var_pop(log_lift), 0), 6) diagnosticity, count(*) n_hyps from cells group by all order by diagnosticity desc, dp_id, model limit 5",
