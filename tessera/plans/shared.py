@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -26,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     configured = sc.getConf().get(SHARED_DIR) or sc.getCheckpointDir()
     if configured:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(configured)
         return configured
     if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise RuntimeError(f"{SHARED_DIR} must name a folder that all executors share")
@@ -45,7 +46,8 @@ def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     Unlike a checkpoint the columns stay prunable and compressed, which suits results that several branches read.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"tessera-{uuid.uuid4().hex}")
+    # one folder an application: what a dead one leaves behind can be told from what a live one reads
+    path = f"{shared_dir(spark).rstrip('/')}/tessera-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
