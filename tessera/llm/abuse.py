@@ -180,7 +180,7 @@ def training_rows(documents: DataFrame, labels: DataFrame) -> list[tuple[str, di
     votes = votes.groupBy("doc_id").agg(*[F.count_if(F.col("label") == c).alias(c) for c in (*CATEGORIES, "clean")])
     n = votes.count()
     drawn = votes.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, FIT_DOCS / max(1, n)) * (1 << 20)) + 1).limit(2 * FIT_DOCS)
-    texts = documents.select("doc_id", "text").where("text is not null")
+    texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     rows = [(r.doc_id, r.text, {c: r[c] for c in (*CATEGORIES, "clean")}) for r in texts.join(drawn, "doc_id").toLocalIterator()]
     known = {r[0] for r in rows}
     share = min(1.0, FIT_UNLABELLED / max(1, documents.count()))
@@ -235,7 +235,8 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, occurrences and rate per source and category."""
     hit = F.count_if(F.col("top_sentence_score") >= OCCURS)
-    return scored(*_inputs(spark, sf_dir)).groupBy("source", "category").agg(F.count("*").alias("n_docs"), hit.alias("n_found"), (hit / F.count("*")).alias("rate"))
+    once = scored(*_inputs(spark, sf_dir)).groupBy("doc_id", "source", "category").agg(F.max("top_sentence_score").alias("top_sentence_score"))
+    return once.groupBy("source", "category").agg(F.count("*").alias("n_docs"), hit.alias("n_found"), (hit / F.count("*")).alias("rate"))
 
 
 QUERIES = {"p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}

@@ -29,8 +29,8 @@ from tessera.plans.shared import stored, table
 
 #: Blocks of a source: bounds what the driver plans with, whatever the size of the source.
 BLOCKS = 512
-#: Output shards: enough that a shard of the mix fits a task.
-SHARDS = 32
+#: Output shards: at least so many, and so many more that a shard holds about this many tokens and fits a task.
+SHARDS, SHARD_TOKENS, MOST_SHARDS = 32, 50_000_000, 8_192
 _SEED = 4_127
 
 
@@ -73,7 +73,7 @@ def split_tree(draws: np.ndarray, shards: int, rng: np.random.Generator) -> np.n
     return np.concatenate([split_tree(take, left, rng), split_tree(draws - take, shards - left, rng)])
 
 
-def plan(blocks: pd.DataFrame, targets: dict[str, tuple[float, int]], min_met: float = 1.0, shards: int = SHARDS) -> pd.DataFrame:
+def plan(blocks: pd.DataFrame, targets: dict[str, tuple[float, int]], min_met: float = 1.0, shards: int | None = None) -> pd.DataFrame:
     """The draws: (source, block, repeat_no, shard, budget); budget is null for a whole block, else the tokens to take of it.
 
     ``blocks`` is (source, block, tokens), at most ``BLOCKS`` rows a source.
@@ -81,6 +81,7 @@ def plan(blocks: pd.DataFrame, targets: dict[str, tuple[float, int]], min_met: f
     rng = np.random.default_rng(_SEED)
     available = {str(s): int(t) for s, t in blocks.groupby("source")["tokens"].sum().items()}
     total = mix_size(available, targets, min_met)
+    shards = shards or min(MOST_SHARDS, max(SHARDS, math.ceil(total / SHARD_TOKENS)))
     present = sum(share for s, (share, _) in targets.items() if available.get(s))
     rows: list[tuple[str, int, int, float | None]] = []
     names = [s for s in targets if available.get(s)]
@@ -107,7 +108,7 @@ def plan(blocks: pd.DataFrame, targets: dict[str, tuple[float, int]], min_met: f
     return out.assign(shard=shard)
 
 
-def mix(documents: DataFrame, targets: dict[str, tuple[float, int]], min_met: float = 1.0, shards: int = SHARDS, folder: str = TOKENIZER_DIR) -> DataFrame:
+def mix(documents: DataFrame, targets: dict[str, tuple[float, int]], min_met: float = 1.0, shards: int | None = None, folder: str = TOKENIZER_DIR) -> DataFrame:
     """(shard, position, doc_id, source, repeat_no, tokens) of the mix."""
     spark = documents.sparkSession
     wanted = documents.where("doc_id is not null and text is not null").select("doc_id", source_name("source").alias("source"), "text").where(F.col("source").isin(*targets))

@@ -216,7 +216,7 @@ def _after_point(text: str, start: int, p: int, b: int, n: int) -> bool:
             if w and w.group().lower() in _MONTHS_DE:
                 return False
             before = text[max(start, p - 24) : p - len(key)].split()
-            if nxt.isdigit() and before and before[-1].lower() in _DATED:
+            if nxt.isdigit() and before and before[-1].lower() in _DATED | _MONTHS_DE:
                 return False
     return True
 
