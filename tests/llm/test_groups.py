@@ -249,3 +249,13 @@ def test_token_counts_round_trip():
     for t in ("Hello, wörld!", "屏幕过了5分钟", " \n\t x", "<|endoftext|>"):
         assert enc.decode(enc.encode_ordinary(t)) == t and tokens.token_count(t) == len(enc.encode_ordinary(t)) > 0
     assert tokens.token_count(None) == tokens.token_count("") == 0
+
+
+def test_an_edited_text_of_common_runs_meets_the_others(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "RARE_TEXTS", 0)
+    base = "the crew left the north hall at four in the afternoon and nothing else was written down in the book of the day by any of them"
+    texts = [base.replace("four", f"four {'again ' * k}") for k in range(3)] + [base.replace("hall", "hlal")] * 1
+    rows = [("t", str(i), t) for i, t in enumerate(texts)] + [("t", f"x{i}", f"{base} number {i} of the list") for i in range(30)]
+    want = {(str(i), str(j)) for i in range(4) for j in range(i + 1, 4) if near_dups.similarity(near_dups.letters(texts[i]), near_dups.letters(texts[j])) >= near_dups.SIMILARITY}
+    got = {(a, b) for a, b in pairs_of(spark, rows) if not a.startswith("x") and not b.startswith("x")}
+    assert got == want
