@@ -32,9 +32,9 @@ CATEGORIES = ("abusive", "hateful", "sexual")
 FIT_DOCS = 6_000
 #: Bound of the unlabelled documents that join the fit as weak negatives (they tell names and idiom from offence).
 FIT_UNLABELLED, UNLABELLED_WEIGHT = 3_000, 0.05
-#: A category occurs in a document when a sentence reaches this probability.
-OCCURS = 0.5
-_ROUNDS, _RATE, _RIDGE, _BIAS = 110, 0.2, 0.002, -4.0
+#: A category occurs in a document when a sentence has it with this probability as its likeliest, or with SURE anyhow.
+OCCURS, SURE = 0.4, 0.5
+_ROUNDS, _RATE, _RIDGE, _BIAS = 150, 0.2, 0.3, -4.0
 
 #: Words that mark a category by themselves, as public word lists have them (stems; doubled letters once).
 _PRIOR = {
@@ -165,8 +165,8 @@ def fit(labelled: list[tuple[str, dict[str, int]]]) -> Model:
                 gz = ((some - target[:, c]) / some * weight[:, c])[doc] * p
                 gw[:, c] = np.bincount(col, weights=gz[row], minlength=len(names)) / size
                 gb[c] = gz.sum() / size
-            gw += _RIDGE * (w - mean)
-            gb += _RIDGE * (bias - _BIAS)
+            gw += _RIDGE / size * (w - mean)
+            gb += _RIDGE / size * (bias - _BIAS)
             for x, g, u, v in ((w, gw, m1, m2), (bias, gb, b1, b2)):
                 u += 0.1 * (g - u)
                 v += 0.01 * (g * g - v)
@@ -190,26 +190,27 @@ def training_rows(documents: DataFrame, labels: DataFrame) -> list[tuple[str, di
 
 
 def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, source, category, score, top_sentence_score, char_start, char_end) per document and category.
+    """(doc_id, source, category, score, top_sentence_score, occurs, char_start, char_end) per document and category.
 
     ``score`` is the noisy-or over sentences; the offsets are those of the likeliest sentence (null without any).
     """
     spark = documents.sparkSession
     model = spark.sparkContext.broadcast(fit(training_rows(documents, labels)))
-    schema = "doc_id long, source string, category string, score double, top_sentence_score double, char_start int, char_end int"
+    schema = "doc_id long, source string, category string, score double, top_sentence_score double, occurs boolean, char_start int, char_end int"
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model.value
         for b in batches:
-            out: dict[str, list] = {"doc_id": [], "source": [], "category": [], "score": [], "top_sentence_score": [], "char_start": [], "char_end": []}
+            out: dict[str, list] = {"doc_id": [], "source": [], "category": [], "score": [], "top_sentence_score": [], "occurs": [], "char_start": [], "char_end": []}
             for doc_id, text, source in zip(b["doc_id"], b["text"], b["source"], strict=True):
                 spans = units(text) if isinstance(text, str) else []
                 z = np.array([m.logits(text[s:e]) for s, e in spans]).reshape(-1, 3)
                 p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+                hit = ((p >= OCCURS) & (p == p.max(axis=1, keepdims=True)) | (p >= SURE)).any(axis=0) if len(spans) else [False] * 3
                 some = -np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum(axis=0))
                 for i, c in enumerate(CATEGORIES):
                     k = int(p[:, i].argmax()) if len(spans) else -1
-                    for name, v in (("doc_id", doc_id), ("source", source), ("category", c), ("score", float(some[i]) if k >= 0 else 0.0), ("top_sentence_score", float(p[k, i]) if k >= 0 else 0.0), ("char_start", spans[k][0] if k >= 0 else None), ("char_end", spans[k][1] if k >= 0 else None)):
+                    for name, v in (("doc_id", doc_id), ("source", source), ("category", c), ("score", float(some[i]) if k >= 0 else 0.0), ("top_sentence_score", float(p[k, i]) if k >= 0 else 0.0), ("occurs", bool(hit[i])), ("char_start", spans[k][0] if k >= 0 else None), ("char_end", spans[k][1] if k >= 0 else None)):
                         out[name].append(v)
             yield pd.DataFrame(out).astype({"char_start": "Int32", "char_end": "Int32"})
 
@@ -223,7 +224,7 @@ def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and category that occurs in a sentence of it."""
-    return scored(*_inputs(spark, sf_dir)).where(F.col("top_sentence_score") >= OCCURS).select("doc_id", "category").dropDuplicates()
+    return scored(*_inputs(spark, sf_dir)).where("occurs").select("doc_id", "category").dropDuplicates()
 
 
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,8 +235,8 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, occurrences and rate per source and category."""
-    hit = F.count_if(F.col("top_sentence_score") >= OCCURS)
-    once = scored(*_inputs(spark, sf_dir)).groupBy("doc_id", "source", "category").agg(F.max("top_sentence_score").alias("top_sentence_score"))
+    hit = F.count_if("occurs")
+    once = scored(*_inputs(spark, sf_dir)).groupBy("doc_id", "source", "category").agg(F.max("occurs").alias("occurs"))
     return once.groupBy("source", "category").agg(F.count("*").alias("n_docs"), hit.alias("n_found"), (hit / F.count("*")).alias("rate"))
 
 

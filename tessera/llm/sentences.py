@@ -35,6 +35,8 @@ BINDING = frozenset(
     "рис стр см табл гл ст им ул г-н г-жа проф акад инж др напр т п руб.коп д-р "
     "सं डॉ श्री श्रीमती प्रो पृ क्र د أ ص م deg i.e e.g a.k.a".split()
 )
+#: Those that are also words: they bind a number, or a name when they have a capital themselves.
+_ALSO_WORDS = frozenset("me art par cap rep sec est ing res ed ch pr gen mill ext vol para".split())
 #: Shortenings that may stand at the end of a sentence: the next word decides.
 LOOSE = frozenset("inc ltd co corp llc plc bros jr sr. etc usw al a.m p.m am pm h min sek hrs hr. kg km cm град млн млрд тыс руб ч мин сек г гг кг км др пр".split())
 _MONTHS_DE = frozenset("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
@@ -184,7 +186,7 @@ def _after_point(text: str, start: int, p: int, b: int, n: int) -> bool:
     last = run.group() if run else ""
     if b == n:  # nothing between
         if nxt.isdigit():
-            return len(last) >= 3 and last.isalpha() and last.islower() and last not in BINDING and "." not in token and bool(re.match(r"\d+\s", text[n : n + 12]))
+            return len(last) >= 3 and last.isalpha() and last.islower() and last not in BINDING | _ALSO_WORDS and "." not in token and bool(re.match(r"\d+\s", text[n : n + 12]))
         if nxt.islower():
             return len(last) >= 3 and last.isalpha() and "_" not in token and bool(_MIXED.match(text, n))
         if nxt.isupper():
@@ -199,6 +201,8 @@ def _after_point(text: str, start: int, p: int, b: int, n: int) -> bool:
         return True
     if key == "no" or key == "nº":
         return not nxt.isdigit()
+    if key in _ALSO_WORDS:
+        return not nxt.isdigit() and not token[:1].isupper()
     if key in BINDING or last.lower() in BINDING and "." in token and key not in LOOSE:
         return False
     if key in LOOSE:

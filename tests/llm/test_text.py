@@ -28,6 +28,7 @@ CASES = [
     ("قيم د. سامي النتيجة بدرجة 4.39. هل رأى الختم؟ قال: «لم ألمس شيئا. اسألوا الليل».", 3),
     ("Annex 4: open questions\n\nsite: A; item: B; reading: 5 kPa\n• First point. Second half\n• Another\n\nA line that\nis wrapped ends here. And one\nmore.", 6),
     ("DUMP 12345 12345 12345\nText one. Text two.", 3),
+    ("Horny and alone, come and ride me. Maintenance sheets mention it. Me. Dupont est venu.", 3),
     ("", 0),
     ("  \n \t ", 0),
     ("One", 1),
