@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import scale, text
 from tessera.operators.corpus import last_written
+from tessera.operators.ranking import ranked
 
 GROUP = ["hyp_id", "model"]
 
@@ -48,8 +49,8 @@ def detail(cells: DataFrame, data_points: DataFrame) -> DataFrame:
     """Every hypothesis' evidence, ranked from the most contradicting, with its source."""
     latest = last_written(data_points.select("dp_id", "doc_id", "meta", "written_at").where("dp_id is not null"), ["dp_id"], ["written_at"])
     cited = cells.join(latest.select("dp_id", text.source_of("meta", "doc_id").alias("source")), "dp_id", "left")
-    rank = F.row_number().over(Window.partitionBy(*GROUP).orderBy("log_lift", "dp_id"))
-    return cited.select(*GROUP, "dp_id", F.round("log_lift", 6).alias("log_lift"), "verdict", "source", rank.alias("rank"))
+    rows = cited.select(*GROUP, "dp_id", F.col("log_lift").alias("exact"), F.round("log_lift", 6).alias("log_lift"), "verdict", "source")
+    return ranked(rows, GROUP, [F.asc("exact"), F.asc("dp_id")]).drop("exact")
 
 
 def wide(cells: DataFrame, rows: list[str], column: str, values: list[str]) -> DataFrame:
@@ -62,7 +63,11 @@ def verdict_histogram(cells: DataFrame) -> DataFrame:
 
 
 def matrix_json(cells: DataFrame, results: DataFrame) -> DataFrame:
-    """One JSON document per hypothesis and model: its result and its cells by ``hyp|dp``, rounded for output."""
-    cell = F.struct(F.concat_ws("|", "hyp_id", "dp_id").alias("key"), F.round("log_lift", 3).alias("log_lift"), F.col("verdict"))
-    grouped = cells.groupBy(*GROUP).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-    return grouped.join(results, GROUP).select(*GROUP, F.to_json(F.struct(F.round("score", 3).alias("score"), "verdict", "n", "cells")).alias("json"))
+    """(kind, key, model, json): the matrix as JSON lines, one a hypothesis' result and one a cell (``hyp|dp``), rounded for output.
+
+    Lines keep a hypothesis with very many cells from becoming one document.
+    """
+    cell = F.to_json(F.struct(F.round("log_lift", 3).alias("log_lift"), F.round("relatedness", 3).alias("relatedness"), "change", "verdict"))
+    result = F.to_json(F.struct(F.round("score", 3).alias("score"), "verdict", "n", "n_supporting", "n_contradicting", "n_neutral"))
+    lines = cells.select(F.lit("cell").alias("kind"), F.concat_ws("|", "hyp_id", "dp_id").alias("key"), "model", cell.alias("json"))
+    return lines.unionByName(results.select(F.lit("result").alias("kind"), F.col("hyp_id").alias("key"), "model", result.alias("json")))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scale, text
+from tessera.operators.ranking import first_k
 from tessera.plans.settings import DEFAULTS, Settings
 from tessera.plans.shared import cut
 
@@ -33,9 +34,10 @@ def evidence(cells: DataFrame, hyps: DataFrame, points: DataFrame) -> DataFrame:
 def seeds(ev: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """The cells of least lift that do not refute alone, first by lift; where all refute, the least of all."""
     mild = F.col("lift") >= settings.refute_lift
-    order = Window.partitionBy("hyp_id").orderBy(F.when(mild, 0).otherwise(1), "lift", "dp_id")
-    ranked = ev.withColumn("any_mild", F.max(mild.cast("int")).over(Window.partitionBy("hyp_id"))).withColumn("rank", F.row_number().over(order))
-    return ranked.where((F.col("rank") <= settings.seeds) & (mild | (F.col("any_mild") == 0))).select("hyp_id", (F.col("rank") - 1).alias("seed"), "dp_id", "lift")
+    any_mild = ev.groupBy("hyp_id").agg(F.max(mild.cast("int")).alias("any_mild"))
+    pool = ev.select("hyp_id", "dp_id", "lift").join(any_mild, "hyp_id").where(mild | (F.col("any_mild") == 0))
+    ranked = first_k(pool.drop("any_mild"), ["hyp_id"], [F.asc("lift"), F.asc("dp_id")], settings.seeds)
+    return ranked.select("hyp_id", (F.col("rank") - 1).alias("seed"), "dp_id", "lift")
 
 
 def shortlists(frontier: DataFrame, ev: DataFrame, limit: int) -> DataFrame:
@@ -48,8 +50,8 @@ def shortlists(frontier: DataFrame, ev: DataFrame, limit: int) -> DataFrame:
     wanted = inside.join(features, ["hyp_id", "dp_id"]).select("hyp_id", "seed", "f").dropDuplicates()
     hits = wanted.join(features, ["hyp_id", "f"]).groupBy("hyp_id", "seed", "dp_id").agg(F.sum("w").alias("score"))
     others = hits.join(inside, ["hyp_id", "seed", "dp_id"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("hyp_id", "seed").orderBy(F.desc("score"), "dp_id"))
-    return others.withColumn("rank", rank).where(F.col("rank") <= limit).select("hyp_id", "seed", F.col("dp_id").alias("cand"), "rank", "score")
+    first = first_k(others, ["hyp_id", "seed"], [F.desc("score"), F.asc("dp_id")], limit)
+    return first.select("hyp_id", "seed", F.col("dp_id").alias("cand"), "rank", "score")
 
 
 def joint_lifts(trials: DataFrame, ev: DataFrame) -> DataFrame:

@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.functions.vectors import hash_matrix
 from tessera.operators import dense
+from tessera.operators.ranking import first_k, ranked
 from tessera.plans.settings import DEFAULTS, Settings
 
 
@@ -53,8 +54,7 @@ def clusters(rows: DataFrame, group: str, settings: Settings = DEFAULTS, encode:
 def top_terms(rows: DataFrame, keys: list[str], k: int = 4) -> DataFrame:
     """(keys, terms): the ``k`` words that most members have; ties in alphabetical order. Words of members only, no prompt words."""
     words = rows.select(*keys, F.explode(text.oracle_tokens("text")).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("df"), "term"))
-    first = words.withColumn("rank", rank).where(F.col("rank") <= k)
+    first = first_k(words, keys, [F.desc("df"), F.asc("term")], k)
     return first.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), ", ").alias("terms"))
 
 
@@ -90,6 +90,5 @@ def retrieval_baseline(hyps: DataFrame, points: DataFrame, dim: int = 256) -> Da
     scored = points.select("dp_id", "text").mapInPandas(best, "dp_id string, sim double")
     n = points.count()
     k = min(n, max(3, n // 3))
-    # the k-th value first, by a distributed sort, so that no window takes all rows into one task
-    ranked = scored.orderBy(F.desc("sim"), "dp_id").limit(k)
-    return ranked
+    # k grows with the data, so rows are ranked by ranges and never gathered
+    return ranked(scored, [], [F.desc("sim"), F.asc("dp_id")]).where(F.col("rank") <= k).drop("rank")

@@ -169,8 +169,8 @@ def matrix_wide(spark: SparkSession, d: str) -> Q:
 
 
 def matrix_documents(spark: SparkSession, d: str) -> Q:
-    docs = matrix.matrix_json(_cells(spark, d), hypothesis_scores(spark, d))
-    return docs.select("hyp_id", "model", F.get_json_object("json", "$.verdict").alias("verdict"), F.size(F.from_json(F.get_json_object("json", "$.cells"), "array<struct<key string>>")).alias("n_cells"))
+    lines = matrix.matrix_json(_cells(spark, d), hypothesis_scores(spark, d))
+    return lines.select("kind", "key", "model", F.get_json_object("json", "$.verdict").alias("verdict"), F.get_json_object("json", "$.change").alias("change"), F.get_json_object("json", "$.n").alias("n"))
 
 
 def cache_misses(spark: SparkSession, d: str) -> Q:

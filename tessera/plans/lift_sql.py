@@ -109,7 +109,8 @@ SQL = {
     "matrix_wide": f"""with {CELLS} select hyp_id, dp_id, round(max(log_lift) filter (model = 'lexical-mock'), 6) lexical_mock, round(max(log_lift) filter (model = 'oracle-a'), 6) oracle_a,
         round(max(log_lift) filter (model = 'oracle-b-mini'), 6) oracle_b_mini, round(max(log_lift) filter (model = 'oracle-c'), 6) oracle_c from cells group by all""",
     "matrix_documents": f"""with {POINTS}, {CRED}, {CELLS}, g as (select hyp_id, model, sum(log_lift * coalesce(cred, 1.0)) score, count(*) n from cells c left join cred using (dp_id) group by all)
-        select hyp_id, model, {_verdict('round(score / greatest(n, 1), 9)')} verdict, n::int n_cells from g""",
+        select 'result' kind, hyp_id "key", model, {_verdict('round(score / greatest(n, 1), 9)')} verdict, null change, n::varchar n from g
+        union all select 'cell', hyp_id || '|' || dp_id, model, verdict, change, null from cells""",
     "cache_misses": """with w as (select distinct hyp_id, dp_id from lift_cache where hyp_id is not null and dp_id is not null and model is not null)
         select hyp_id, dp_id, 'oracle-a' model from w anti join (select hyp_id, dp_id from lift_cache where model = 'oracle-a') c using (hyp_id, dp_id)""",
     "cache_merge": f"""with {CELLS}, n as (select hyp_id, dp_id, 'oracle-a' model, round(lift, 6) lift from cells where model = 'oracle-c')

@@ -304,3 +304,21 @@ def test_queries_match_their_sql(spark, name):
     got = norm([tuple(r) for r in df.select(*columns).collect()])
     want = norm(con.sql(f"select {', '.join(f'\"{c}\"' for c in columns)} from ({catalog.oracle_sql()[name]})").fetchall())
     assert got == want
+
+
+def test_ranks_of_a_group_that_spans_partitions(spark):
+    from tessera.operators.ranking import first_k, ranked
+
+    rng = random.Random(8)
+    data = [("hot" if i % 3 else f"g{i % 7}", rng.randint(0, 50), i) for i in range(900)] + [(None, 1, 9_000), (None, 1, 9_001)]
+    df = spark.createDataFrame(data, "g string, v int, i int").repartition(6)
+    order = [F.desc("v"), F.asc("i")]
+    want = {}
+    for g in {x[0] for x in data}:
+        for k, x in enumerate(sorted((x for x in data if x[0] == g), key=lambda x: (-x[1], x[2]))):
+            want[x[2]] = k + 1
+    assert {r.i: r["rank"] for r in ranked(df, ["g"], order).collect()} == want
+    assert {r.i: r["rank"] for r in first_k(df, ["g"], order, 5).collect()} == {i: k for i, k in want.items() if k <= 5}
+    whole = {r.i: r["rank"] for r in ranked(df, [], order).collect()}
+    assert whole == {x[2]: k + 1 for k, x in enumerate(sorted(data, key=lambda x: (-x[1], x[2])))}
+    assert ranked(df.limit(0), ["g"], order).count() == 0
