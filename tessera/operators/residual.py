@@ -25,12 +25,26 @@ def residuals(cells: DataFrame, epsilon: float = DEFAULTS.residual_epsilon) -> D
     return residual_scores(cells).where(F.col("residual") <= epsilon)
 
 
-def clusters(rows: DataFrame, group: str, settings: Settings = DEFAULTS, encode: Callable[[list[str]], np.ndarray] = hash_matrix) -> DataFrame:
+def clusters(rows: DataFrame, group: str, settings: Settings = DEFAULTS, encode: Callable[[list[str]], np.ndarray] = hash_matrix, whole_below: int = 2_000) -> DataFrame:
     """(group, cluster, dp_ids, size, coherence) of ``rows(group, dp_id, text)``, clustered within each group.
 
-    Small groups are merged bottom-up by average cosine distance, larger ones by density; groups are bounded by their nature
-    (the residuals of one case), as both need all distances within a group.
+    Small groups are merged bottom-up by average cosine distance, larger ones by density. Both need all distances, so a
+    group of more than ``whole_below`` rows is first divided by the signs of fixed random projections of its vectors (near vectors
+    share most signs) into slices of about that many; clusters are then found within slices.
     """
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    planes = np.random.default_rng(5).normal(size=(1 << 12, 20))
+
+    def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            bits = np.ceil(np.log2(np.maximum(1, b["_n"].to_numpy() / whole_below))).astype(int)
+            at = np.zeros(len(b), np.int64)
+            if bits.any():
+                v = encode(list(b["text"]))
+                signs = (v @ planes[: v.shape[1]] > 0).astype(np.int64)
+                for k in range(min(20, bits.max())):
+                    at |= np.where(bits > k, signs[:, k] << k, 0)
+            yield b[[group, "dp_id", "text"]].assign(_slice=at)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("dp_id")
@@ -45,10 +59,12 @@ def clusters(rows: DataFrame, group: str, settings: Settings = DEFAULTS, encode:
             if own.sum() >= settings.min_cluster:
                 out.append((pdf[group].iat[0], sorted(map(str, ids[own])), int(own.sum()), dense.coherence(v[own])))
         out.sort(key=lambda x: (-round(x[3], 9), x[1]))
-        return pd.DataFrame([(g, k, d, n, c) for k, (g, d, n, c) in enumerate(out)], columns=list(empty.columns)) if out else empty
+        first = int(pdf["_slice"].iat[0]) * whole_below
+        return pd.DataFrame([(g, first + k, d, n, c) for k, (g, d, n, c) in enumerate(out)], columns=list(empty.columns)) if out else empty
 
     kind = dict(rows.dtypes)[group]
-    return rows.groupBy(group).applyInPandas(one, f"{group} {kind}, cluster int, dp_ids array<string>, size int, coherence double")
+    sliced = rows.join(sizes, group).select(group, "dp_id", "text", "_n").mapInPandas(slices, f"{group} {kind}, dp_id string, text string, _slice long")
+    return sliced.groupBy(group, "_slice").applyInPandas(one, f"{group} {kind}, cluster int, dp_ids array<string>, size int, coherence double")
 
 
 def top_terms(rows: DataFrame, keys: list[str], k: int = 4) -> DataFrame:

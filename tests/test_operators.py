@@ -322,3 +322,13 @@ def test_ranks_of_a_group_that_spans_partitions(spark):
     whole = {r.i: r["rank"] for r in ranked(df, [], order).collect()}
     assert whole == {x[2]: k + 1 for k, x in enumerate(sorted(data, key=lambda x: (-x[1], x[2])))}
     assert ranked(df.limit(0), ["g"], order).count() == 0
+
+
+def test_large_groups_are_clustered_in_slices(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(40)]
+    topics = [rng.sample(words, 6) for _ in range(8)]
+    df = spark.createDataFrame([("g", f"d{i:03}", " ".join(topics[i % 8])) for i in range(160)], "g string, dp_id string, text string")
+    got = residual.clusters(df, "g", whole_below=40).collect()
+    assert sum(r["size"] for r in got) >= 150 and len({r.cluster for r in got}) == len(got)
+    assert all(len({int(d[1:]) % 8 for d in r.dp_ids}) == 1 for r in got)
