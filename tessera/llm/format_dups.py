@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans.shared import table
+from tessera.plans.shared import stored, table
 
 _INVISIBLE = regex.compile(r"[\p{Cf}͏ᅟᅠ឴឵᠋-᠏ㅤ︀-️ﾠ]+")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{Nd}]+(?:(?<=\p{Nd})[.,](?=\p{Nd})[\p{L}\p{M}\p{Nd}]+)*")
@@ -60,35 +60,59 @@ def canonical(text: str) -> tuple[str, str | None]:
     return words(flat), None
 
 
+_KEY = ["tbl", "hi", "lo", "check"]
+
+
+def _halves(raw: bytes) -> tuple[int, int]:
+    d = hashlib.md5(raw, usedforsecurity=False).digest()
+    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+
+
 def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        keys, checks, fields = [], [], []
+        his, los, checks, fhis, flos = [], [], [], [], []
         for t in b["text"]:
             plain, by_field = canonical(t)
-            raw = plain.encode()
-            keys.append(hashlib.md5(raw, usedforsecurity=False).digest())
+            raw = plain.encode("utf-8", "surrogatepass")
+            hi, lo = _halves(raw)
+            fhi, flo = (None, None) if by_field is None else _halves(b"fields\n" + by_field.encode("utf-8", "surrogatepass"))
+            his.append(hi)
+            los.append(lo)
             checks.append(zlib.crc32(raw) << 24 | len(raw) & 0xFFFFFF)
-            fields.append(None if by_field is None else hashlib.md5(b"fields\n" + by_field.encode(), usedforsecurity=False).digest())
-        yield pd.DataFrame({"tbl": b["tbl"], "id": b["id"], "plain": keys, "check": checks, "fields": fields})
+            fhis.append(fhi)
+            flos.append(flo)
+        yield pd.DataFrame({"tbl": b["tbl"], "id": b["id"], "hi": his, "lo": los, "check": checks, "fhi": pd.array(fhis, dtype="Int64"), "flo": pd.array(flos, dtype="Int64")})
 
 
-def canonical_keys(items: DataFrame) -> DataFrame:
-    """(tbl, id, key, check) per distinct record of ``items(tbl, id, text)``.
+def _parts(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tbl, id, hi, lo, check) of the records that may have copies, by the key of their group; and of all others, by their own.
 
-    ``key`` is the 128-bit hash; ``check`` an independent hash of the same canonical form, so that a collision of the
-    first shows as two checks under one key. The flat layout of a record of fields (same words, separators lost) is
-    led to the key of its fields through the few hashes of such records.
+    hi and lo are the 128-bit hash; check is an independent hash of the same canonical form (-1 for records of fields), so that a
+    collision of the first shows as two checks under one key. Counts by hash, combined before the shuffle, tell the few records
+    that share a hash or consist of fields; only those are compared further. The flat layout of a record of fields (same
+    words, separators lost) is led to the key of its fields.
     """
-    hashed = items.where("id is not null and text is not null").select("tbl", "id", "text").mapInPandas(_hashes, "tbl string, id string, plain binary, check long, fields binary").dropDuplicates(["tbl", "id", "plain", "check", "fields"])
-    records = hashed.where("fields is not null").groupBy("tbl", "plain").agg(F.min("fields").alias("as_fields"))
-    linked = hashed.join(records, ["tbl", "plain"], "left")
-    key = F.coalesce("fields", "as_fields")
-    return linked.select("tbl", "id", F.coalesce(key, "plain").alias("key"), F.when(key.isNull(), F.col("check")).otherwise(F.lit(-1)).alias("check"))
+    schema = "tbl string, id string, hi long, lo long, check long, fhi long, flo long"
+    hashed = stored(items.where("id is not null and text is not null").select("tbl", "id", "text").mapInPandas(_hashes, schema))
+    counts = hashed.groupBy(*_KEY).agg(F.count("*").alias("n"), F.count("fhi").alias("n_fields"))
+    shared = counts.where("n > 1 or n_fields > 0").select(*_KEY)
+    some = hashed.join(shared, _KEY, "left_semi").dropDuplicates()
+    records = some.where("fhi is not null").groupBy(*_KEY).agg(F.min(F.struct("fhi", "flo")).alias("f"))
+    linked = some.join(records, _KEY, "left")
+    fhi, flo = F.coalesce("fhi", "f.fhi"), F.coalesce("flo", "f.flo")
+    keyed = linked.select("tbl", "id", F.coalesce(fhi, "hi").alias("hi"), F.coalesce(flo, "lo").alias("lo"), F.when(fhi.isNull(), F.col("check")).otherwise(F.lit(-1)).alias("check"))
+    alone = hashed.join(counts.where("n = 1 and n_fields = 0").select(*_KEY), _KEY, "left_semi").select("tbl", "id", "hi", "lo", "check")
+    return keyed.dropDuplicates(), alone
+
+
+def _grouped(keyed: DataFrame) -> DataFrame:
+    return keyed.groupBy(*_KEY).agg(F.min("id").alias("rep_id"), F.count("*").alias("n_copies"))
 
 
-def copy_groups(keyed: DataFrame) -> DataFrame:
-    """One row per distinct text: (tbl, key, check, rep_id, n_copies). Counts combine before the shuffle."""
-    return keyed.groupBy("tbl", "key", "check").agg(F.min("id").alias("rep_id"), F.count("*").alias("n_copies"))
+def copy_groups(items: DataFrame) -> DataFrame:
+    """One row per distinct text of ``items(tbl, id, text)``: (tbl, hi, lo, check, rep_id, n_copies)."""
+    keyed, alone = _parts(items)
+    return _grouped(keyed).unionByName(alone.select(*_KEY, F.col("id").alias("rep_id"), F.lit(1).cast("long").alias("n_copies")))
 
 
 def items_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,9 +123,9 @@ def items_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def copies(items: DataFrame) -> DataFrame:
     """(tbl, id_a, id_b): each id with the smallest id of its group, but the smallest itself."""
-    keyed = canonical_keys(items)
-    several = copy_groups(keyed).where("n_copies > 1").drop("n_copies")
-    pairs = keyed.join(several, ["tbl", "key", "check"]).where("id <> rep_id")
+    keyed, _ = _parts(items)
+    several = _grouped(keyed).where("n_copies > 1").drop("n_copies")
+    pairs = keyed.join(several, _KEY).where("id <> rep_id")
     return pairs.select("tbl", F.col("rep_id").alias("id_a"), F.col("id").alias("id_b"))
 
 
@@ -112,9 +136,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per distinct record with the number of its copies; ``collided`` tells a 128-bit hash shared by others."""
-    groups = copy_groups(canonical_keys(items_of(spark, sf_dir)))
-    shared = groups.groupBy("tbl", "key").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo < hi").select("tbl", "key", F.lit(True).alias("hit"))
-    return groups.join(shared, ["tbl", "key"], "left").select("tbl", "rep_id", "n_copies", F.coalesce("hit", F.lit(False)).alias("collided"))
+    groups = copy_groups(items_of(spark, sf_dir))
+    shared = groups.groupBy("tbl", "hi", "lo").agg(F.min("check").alias("least"), F.max("check").alias("most")).where("least < most").select("tbl", "hi", "lo", F.lit(True).alias("hit"))
+    return groups.join(shared, ["tbl", "hi", "lo"], "left").select("tbl", "rep_id", "n_copies", F.coalesce("hit", F.lit(False)).alias("collided"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed}
