@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.scale import col_of
 
@@ -82,7 +83,7 @@ def tfidf_matrix(texts: list[str], stop: tuple[str, ...] = ()) -> np.ndarray:
 
 def model_embeddings(rows: DataFrame, text: str, out: str, load: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
     """``rows`` with unit vectors of a model that each worker loads once by ``load``."""
-    schema = rows.schema.add(out, "array<double>")
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = load()

@@ -96,6 +96,11 @@ def _tokens(name: str, col: Callable[[], F.Column]) -> Callable[[SparkSession, s
     return query
 
 
+def entity_sets(spark: SparkSession, d: str) -> Q:
+    """Capitalised words, dates, figures and the source of each data point, as the structural screen compares them."""
+    return _points(spark, d).where("text is not null").select("dp_id", F.array_join(F.array_sort(text.entities("text", "meta")), " ").alias("entities"))
+
+
 def priors(spark: SparkSession, d: str) -> Q:
     return _points(spark, d).where("text is not null").select("dp_id", text.lexical_prior("text").alias("prior"))
 
@@ -284,7 +289,7 @@ def embedding_separability(spark: SparkSession, d: str) -> Q:
 QUERIES = {
     **{f.__name__: f for f in (
         sentence_split, sentence_stats, content_ids, hash_embed_norms, adjacent_similarity, trough_threshold, semantic_chunks, chunk_atoms, dedup_atoms_last_writer,
-        latest_data_points, live_documents, live_data_points, priors, lexical_pairs, lexical_cells, parsed_replies, change_labels, lift_scale, verdict_histogram, hypothesis_scores,
+        latest_data_points, live_documents, live_data_points, entity_sets, priors, lexical_pairs, lexical_cells, parsed_replies, change_labels, lift_scale, verdict_histogram, hypothesis_scores,
         best_worst_cells, diagnosticity, diagnosticity_top, diagnosticity_bottom, hypothesis_detail, matrix_wide, matrix_documents, cache_misses, cache_merge, pairwise_refutations,
         refutation_seeds, structural_candidates, joint_lift_pairs, refuting_sets, residual_points, residual_counts, retrieval_topk, residual_clusters, abduced_terms, missing_hypotheses,
         verify_abduction, supporting_terms, embedding_coherence, embedding_separability,

@@ -127,3 +127,32 @@ def test_remote_oracle_faults(spark):
     dead = scoring.RemoteOracle("m", lambda: (lambda _: (_ for _ in ()).throw(OSError("down"))), "{h}{d}")
     with pytest.raises(Exception, match="none succeeded"):
         dead.cells(pairs).collect()
+
+
+def test_entities_match_a_plain_version(spark):
+    rows = ["The Mixer-Room at Halle lost 12,5% on 2024-03-01.", "nothing here", "ABC de Fgh 7 1.000 x9", ""]
+    df = spark.createDataFrame([(t, '{"source": "Desk A", "oven": "3"}') for t in rows], "t string, m string").select("t", text.entities("t", "m").alias("e"))
+    for r in df.collect():
+        want = set(re.findall(r"\b[A-Z][a-zA-Z\-]{2,}\b", r.t)) | set(re.findall(r"\b\d{4}-\d{2}-\d{2}\b|\b\d+(?:[.,]\d+)?%?\b", r.t)) | {"Desk A", "3"}
+        assert set(r.e) == {w.lower() for w in want}
+
+
+def test_embedders(spark):
+    import numpy as np
+
+    from tessera.functions import vectors
+
+    texts = ["the pump seal cracked", "the pump seal", "", "choir night"]
+    dense = vectors.hash_matrix(texts)
+    sparse = vectors.sparse_hashing(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), ["i"], "t").collect()
+    got = np.zeros_like(dense)
+    for r in sparse:
+        got[r.i, r.bucket] = r.weight
+    assert np.allclose(got, dense) and np.allclose(np.linalg.norm(dense, axis=1), [1, 1, 0, 1])
+    tfidf = vectors.tfidf_matrix(texts[:2], stop=("the",))
+    assert np.allclose(np.linalg.norm(tfidf, axis=1), 1) and 0 < tfidf[0] @ tfidf[1] < 1 and vectors.tfidf_matrix(["x"]).tolist() == [[1.0]]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    out = vectors.model_embeddings(rows, "t", "v", lambda: lambda ts: np.array([[len(t), 1.0] for t in ts])).collect()
+    assert len(out) == 4 and all(abs(sum(x * x for x in r.v) - 1) < 1e-9 for r in out)
+    unit = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>").select(vectors.unit("v")).collect()
+    assert [r[0] for r in unit] == [[0.6, 0.8], [0.0, 0.0]]
