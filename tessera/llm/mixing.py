@@ -6,8 +6,9 @@ are dealt to output shards by recursive halving: how many of each source's go le
 draw, so every shard is a fair sample of the mix, exact in sum, and no block is drawn twice in a pass. Within a shard
 the documents are shuffled locally.
 
-The size of the mix is the largest at which the sources with documents reach their shares within their repeats
-(``min_met`` lowers it to the largest at which sources of that much share do; the rest then fall short). Sources without documents
+The size of the mix is the largest at which the sources with documents reach their shares within their repeats. Where that is
+less than the text there is, the sources that run out first are let fall short, with all their repeats used, until the mix is
+as large as the text or the sources that are met would have less than ``min_met`` of the share. Sources without documents
 cannot be met; the others keep their proportions, and the report has the shares reached.
 
 Defined results for odd input: sources are compared trimmed, in lower case, with blanks and hyphens as underscores;
@@ -32,6 +33,8 @@ BLOCKS = 512
 #: Output shards: at least so many, and so many more that a shard holds about this many tokens and fits a task.
 SHARDS, SHARD_TOKENS, MOST_SHARDS = 32, 50_000_000, 8_192
 _SEED = 4_127
+#: Share of the registered mix that is met whatever the size; sources with the rest together don't bound it.
+MIN_MET = 0.9
 
 
 def source_name(col: str) -> Column:
@@ -48,14 +51,17 @@ def targets_of(targets: DataFrame) -> dict[str, tuple[float, int]]:
 
 
 def mix_size(available: dict[str, int], targets: dict[str, tuple[float, int]], min_met: float = 1.0) -> float:
-    """The largest total at which sources of at least ``min_met`` of the share present are met within their repeats."""
-    present = sorted(((available[s] * rep / share, share) for s, (share, rep) in targets.items() if available.get(s)), reverse=True)
-    whole, met = sum(share for _, share in present), 0.0
+    """The largest total at which every source present is met within its repeats, or without those that would keep the mix smaller than the text.
+
+    Sources of at least ``min_met`` of the share present are always met.
+    """
+    present = sorted((available[s] * rep / share, share) for s, (share, rep) in targets.items() if available.get(s))
+    whole, text, short = sum(share for _, share in present), sum(available[s] for s in targets if available.get(s)), 0.0
     for total, share in present:
-        met += share
-        if met >= min_met * whole - 1e-12:
+        short += share
+        if total * whole >= text or short > (1 - min_met) * whole + 1e-12:
             return total
-    return 0.0
+    return present[-1][0] if present else 0.0
 
 
 def split_tree(draws: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
@@ -132,7 +138,7 @@ def mix(documents: DataFrame, targets: dict[str, tuple[float, int]], min_met: fl
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of the mix, by shard and position."""
-    return mix(table(spark, sf_dir, "documents"), targets_of(table(spark, sf_dir, "mix_targets")))
+    return mix(table(spark, sf_dir, "documents"), targets_of(table(spark, sf_dir, "mix_targets")), MIN_MET)
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -242,6 +242,27 @@ def test_mix_rows(spark):
     assert mixing.mix(df.limit(0), targets).count() == 0
 
 
+def test_tiny_source_does_not_bound_the_mix(spark, tmp_path):
+    if not __import__("os").path.isdir(tokens.TOKENIZER_DIR):
+        pytest.skip("no vocabularies")
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(20)), "tiny" if i < 2 else "a" if i % 2 else "b") for i in range(800)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("a", 0.55, 2), ("b", 0.4, 2), ("tiny", 0.05, 3)], "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    got = {r.source: r for r in mixing.p9_shares(spark, str(tmp_path)).collect()}
+    assert got["tiny"].tokens and got["tiny"].n_docs == 2 and got["tiny"].most_uses == 3 and got["tiny"].share < 0.05
+    assert abs(got["a"].tokens / got["b"].tokens - 0.55 / 0.4) < 0.05 and got["a"].n_docs == got["b"].n_docs + 0 == 399
+    assert max(r.most_uses for r in got.values()) <= 3 and got["a"].most_uses == got["b"].most_uses == 2
+
+
+def test_mix_size_gives_up_shares_only_for_a_mix_below_the_text():
+    targets = {"big": (0.5, 1), "mid": (0.42, 2), "tiny": (0.08, 2)}
+    assert mixing.mix_size({"big": 500, "mid": 400, "tiny": 60}, targets, 0.9) == 1000
+    assert mixing.mix_size({"big": 500, "mid": 400, "tiny": 4}, targets, 0.9) == 1000
+    assert math.isclose(mixing.mix_size({"big": 500, "mid": 400, "tiny": 4}, targets, 0.95), 100) and math.isclose(mixing.mix_size({"big": 500, "mid": 400, "tiny": 4}, targets), 100)
+    assert mixing.mix_size({}, targets, 0.9) == 0.0
+
+
 def test_token_counts_round_trip():
     if not __import__("os").path.isdir(tokens.TOKENIZER_DIR):
         pytest.skip("no vocabularies")
