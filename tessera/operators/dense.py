@@ -67,7 +67,14 @@ def hdbscan(v: np.ndarray, min_size: int) -> np.ndarray:
         nxt = int(np.where(inside, np.inf, near).argmin())
         edges.append((float(near[nxt]), int(parent[nxt]), nxt))
         at = nxt
-    root, node, left, right, height, size = list(range(n)), list(range(n)), {}, {}, {}, dict.fromkeys(range(n), 1)
+    return tree_labels(edges, core, min_size)
+
+
+def tree_labels(edges: list[tuple[float, int, int]], core: np.ndarray, min_size: int, copies: np.ndarray | None = None) -> np.ndarray:
+    """Labels of the density clusters of a lightest spanning tree of mutual reachabilities; points may stand for several copies."""
+    n = len(core)
+    weight = [1] * n if copies is None else [int(c) for c in copies]
+    root, node, left, right, height, size = list(range(n)), list(range(n)), {}, {}, {}, dict(enumerate(weight))
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -122,8 +129,8 @@ def hdbscan(v: np.ndarray, min_size: int) -> np.ndarray:
                 else:
                     for p in points(s):
                         falls.append((c, p, lam))
-    for c, _, lam in falls:
-        mass[c] += lam - born[c]
+    for c, p, lam in falls:
+        mass[c] += weight[p] * (lam - born[c])
     chosen: dict[int, bool] = {}
     best: dict[int, float] = {}
     for c in sorted(mass, reverse=True):
@@ -132,16 +139,13 @@ def hdbscan(v: np.ndarray, min_size: int) -> np.ndarray:
         best[c] = mass[c] if chosen[c] else below
     labels = np.full(n, -1)
     numbers: dict[int, int] = {}
+    tops: dict[int, int] = {0: -1}
+    for k in range(1, names):
+        up = tops[parent_of[k]]
+        tops[k] = up if up >= 0 else k if chosen[k] else -1
     for c, p, _ in falls:
-        top, k = -1, c
-        while True:
-            if chosen[k]:
-                top = k
-            if k == 0:
-                break
-            k = parent_of[k]
-        if top >= 0:
-            labels[p] = numbers.setdefault(top, len(numbers))
+        if tops[c] >= 0:
+            labels[p] = numbers.setdefault(tops[c], len(numbers))
     return labels
 
 

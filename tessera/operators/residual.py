@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.functions.vectors import hash_matrix
-from tessera.operators import dense
+from tessera.operators import dense, density
 from tessera.operators.ranking import first_k, ranked
 from tessera.plans.settings import DEFAULTS, Settings
+from tessera.plans.shared import stored
 
 
 def residual_scores(cells: DataFrame) -> DataFrame:
@@ -28,23 +29,12 @@ def residuals(cells: DataFrame, epsilon: float = DEFAULTS.residual_epsilon) -> D
 def clusters(rows: DataFrame, group: str, settings: Settings = DEFAULTS, encode: Callable[[list[str]], np.ndarray] = hash_matrix, whole_below: int = 2_000) -> DataFrame:
     """(group, cluster, dp_ids, size, coherence) of ``rows(group, dp_id, text)``, clustered within each group.
 
-    Small groups are merged bottom-up by average cosine distance, larger ones by density. Both need all distances, so a
-    group of more than ``whole_below`` rows is first divided by the signs of fixed random projections of its vectors (near vectors
-    share most signs) into slices of about that many; clusters are then found within slices.
+    Small groups are merged bottom-up by average cosine distance, larger ones by density. Both need all distances: a group
+    of more than ``whole_below`` rows has them by pairs of blocks (``density``). Only the order of equal distances is open there, as it is in one task.
     """
+    kind = dict(rows.dtypes)[group]
     sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
-    planes = np.random.default_rng(5).normal(size=(1 << 12, 20))
-
-    def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            bits = np.ceil(np.log2(np.maximum(1, b["_n"].to_numpy() / whole_below))).astype(int)
-            at = np.zeros(len(b), np.int64)
-            if bits.any():
-                v = encode(list(b["text"]))
-                signs = (v @ planes[: v.shape[1]] > 0).astype(np.int64)
-                for k in range(min(20, bits.max())):
-                    at |= np.where(bits > k, signs[:, k] << k, 0)
-            yield b[[group, "dp_id", "text"]].assign(_slice=at)
+    tagged = rows.join(sizes, group)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("dp_id")
@@ -59,12 +49,29 @@ def clusters(rows: DataFrame, group: str, settings: Settings = DEFAULTS, encode:
             if own.sum() >= settings.min_cluster:
                 out.append((pdf[group].iat[0], sorted(map(str, ids[own])), int(own.sum()), dense.coherence(v[own])))
         out.sort(key=lambda x: (-round(x[3], 9), x[1]))
-        first = int(pdf["_slice"].iat[0]) * whole_below
-        return pd.DataFrame([(g, first + k, d, n, c) for k, (g, d, n, c) in enumerate(out)], columns=list(empty.columns)) if out else empty
+        return pd.DataFrame([(g, k, d, n, c) for k, (g, d, n, c) in enumerate(out)], columns=list(empty.columns)) if out else empty
 
-    kind = dict(rows.dtypes)[group]
-    sliced = rows.join(sizes, group).select(group, "dp_id", "text", "_n").mapInPandas(slices, f"{group} {kind}, dp_id string, text string, _slice long")
-    return sliced.groupBy(group, "_slice").applyInPandas(one, f"{group} {kind}, cluster int, dp_ids array<string>, size int, coherence double")
+    schema = f"{group} {kind}, cluster int, dp_ids array<string>, size int, coherence double"
+    small = tagged.where(F.col("_n") <= whole_below).select(group, "dp_id", "text").groupBy(group).applyInPandas(one, schema)
+    if sizes.where(F.col("_n") > whole_below).isEmpty():
+        return small
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(g, c, list(x["dp_id"]), np.sum([np.frombuffer(v) for v in x["vec"]], axis=0).tolist()) for (g, c), x in b.groupby([group, "cluster"])]
+            yield pd.DataFrame(out, columns=[group, "cluster", "dp_ids", "s"])
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, s = sorted(x for d in pdf["dp_ids"] for x in d), np.sum([np.asarray(x) for x in pdf["s"]], axis=0)
+        n = len(ids)
+        return pd.DataFrame([(pdf[group].iat[0], ids, n, (float((s * s).sum()) - n) / max(n * (n - 1), 1))], columns=[group, "dp_ids", "size", "coherence"])
+
+    codes = density.coded(tagged.where(F.col("_n") > whole_below), group, "dp_id", "text", encode)
+    members = density.labelled(codes, group, "dp_id", settings.min_cluster).where("cluster >= 0").select(group, "cluster", "dp_id", "vec")
+    parts = members.mapInPandas(sums, f"{group} {kind}, cluster int, dp_ids array<string>, s array<double>")
+    found = parts.groupBy(group, "cluster").applyInPandas(total, f"{group} {kind}, dp_ids array<string>, size int, coherence double")
+    numbered = ranked(stored(found), [group], [F.desc(F.round("coherence", 9)), F.asc(F.element_at("dp_ids", 1))])
+    return small.unionByName(numbered.select(group, (F.col("rank") - 1).cast("int").alias("cluster"), "dp_ids", "size", "coherence"))
 
 
 def top_terms(rows: DataFrame, keys: list[str], k: int = 4) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import hash_matrix
-from tessera.operators import corpus, dense, evaluation, matrix, orphans, refute, residual
+from tessera.operators import corpus, dense, density, evaluation, matrix, orphans, refute, residual
 from tessera.plans.settings import Settings
 from tessera.sources import scenario
 from tessera.sources.store import Store, read_sqlite
@@ -332,3 +332,24 @@ def test_large_groups_are_clustered_in_slices(spark):
     got = residual.clusters(df, "g", whole_below=40).collect()
     assert sum(r["size"] for r in got) >= 150 and len({r.cluster for r in got}) == len(got)
     assert all(len({int(d[1:]) % 8 for d in r.dp_ids}) == 1 for r in got)
+
+
+def test_density_over_blocks_equals_one_matrix(spark):
+    rng = np.random.default_rng(6)
+    v = np.concatenate([rng.normal(c, 0.4, (40, 5)) for c in (0, 2, 4)] + [rng.normal(0, 6, (30, 5))])
+    v = np.concatenate([v, v[:4], v[:2], v[:2]])
+    labels = dense.hdbscan(v, 3)
+    df = spark.createDataFrame([(0, i, x.tolist()) for i, x in enumerate(v)], "g int, i int, vec array<double>")
+    rows = density.labelled(density.coded(df, "g", "i", "vec", lambda xs: np.stack(xs)), "g", "i", 3, tile=16).collect()
+    got = {r.i: r.cluster for r in rows}
+    same = lambda f: {frozenset(i for i in range(len(v)) if f(i) == c) for c in {f(i) for i in range(len(v))} - {-1}}
+    assert len(rows) == len(v) and same(lambda i: labels[i]) == same(got.get) and len(set(labels)) > 3
+
+
+def test_clusters_of_a_large_group_are_those_of_the_whole(spark):
+    rng = np.random.default_rng(6)
+    v = np.round(np.concatenate([rng.normal(c, 0.4, (40, 5)) for c in (0, 2, 4)] + [rng.normal(0, 6, (30, 5))]), 9)
+    df = spark.createDataFrame([("g", f"d{i:03}", " ".join(map(repr, x.tolist()))) for i, x in enumerate(v)], "g string, dp_id string, text string")
+    got = residual.clusters(df, "g", encode=lambda texts: np.array([[float(x) for x in t.split()] for t in texts]), whole_below=20).collect()
+    labels = dense.hdbscan(v, 3)
+    assert sorted(r.dp_ids for r in got) == sorted([f"d{i:03}" for i in np.flatnonzero(labels == c)] for c in set(labels) - {-1})
