@@ -241,30 +241,35 @@ def retrieval_topk(spark: SparkSession, d: str) -> Q:
 
 
 def _members(spark: SparkSession, d: str) -> Q:
-    """Residual data points with their text, by the document they come from: the cases that clusters are sought in."""
+    """Residual data points with their text, whatever document they come from."""
     ids = residual.residuals(_cells(spark, d)).select("dp_id").dropDuplicates()
-    return _points(spark, d).where("text is not null and doc_id is not null").join(ids, "dp_id", "left_semi").select("doc_id", "dp_id", "text")
+    return _points(spark, d).where("text is not null").join(ids, "dp_id", "left_semi").select("doc_id", "dp_id", "text")
+
+
+def _whole(rows: Q) -> Q:
+    """``rows`` as one case: clusters are sought in the whole table."""
+    return rows.select(F.lit(0).alias("case_id"), "dp_id", "text")
 
 
 def residual_clusters(spark: SparkSession, d: str) -> Q:
-    return residual.clusters(_members(spark, d), "doc_id").withColumn("coherence", F.round("coherence", 6))
+    return residual.clusters(_whole(_members(spark, d)), "case_id").select("cluster", "dp_ids", "size", F.round("coherence", 6).alias("coherence"))
 
 
 def abduced_terms(spark: SparkSession, d: str) -> Q:
-    return residual.abduced(residual.top_terms(_members(spark, d), ["doc_id"]))
+    return residual.abduced(residual.top_terms(_members(spark, d).where("doc_id is not null"), ["doc_id"]))
 
 
 def missing_hypotheses(spark: SparkSession, d: str) -> Q:
     """Residual clusters, the hypothesis proposed for each, and the share of members it makes likelier."""
     rows = _members(spark, d)
-    found = cut(residual.clusters(rows, "doc_id"))
-    members = found.select("doc_id", "cluster", F.explode("dp_ids").alias("dp_id")).join(rows.select("dp_id", F.col("text")), "dp_id")
-    proposed = residual.abduced(residual.top_terms(members, ["doc_id", "cluster"]))
+    found = cut(residual.clusters(_whole(rows), "case_id").drop("case_id"))
+    members = found.select("cluster", F.explode("dp_ids").alias("dp_id")).join(rows.select("dp_id", F.col("text")), "dp_id")
+    proposed = residual.abduced(residual.top_terms(members, ["cluster"]))
     named = proposed.withColumn("hyp_id", text.content_id("hypothesis"))
-    pairs = members.join(named, ["doc_id", "cluster"]).select("doc_id", "cluster", "hyp_id", F.col("hypothesis").alias("hyp"), "dp_id", F.col("text").alias("dp"))
+    pairs = members.join(named, ["cluster"]).select("cluster", "hyp_id", F.col("hypothesis").alias("hyp"), "dp_id", F.col("text").alias("dp"))
     judged = scoring.finished(scoring.LexicalOracle().cells(pairs), "lexical").select("hyp_id", "dp_id", "lift")
-    checked = residual.verified(pairs.select("doc_id", "cluster", "hyp_id", "dp_id").join(judged.dropDuplicates(["hyp_id", "dp_id"]), ["hyp_id", "dp_id"]), ["doc_id", "cluster"])
-    return found.join(named.select("doc_id", "cluster", "hypothesis"), ["doc_id", "cluster"]).join(checked, ["doc_id", "cluster"]).select("doc_id", "cluster", "size", F.round("coherence", 6).alias("coherence"), "hypothesis", "explained", "admitted")
+    checked = residual.verified(pairs.select("cluster", "hyp_id", "dp_id").join(judged.dropDuplicates(["hyp_id", "dp_id"]), ["hyp_id", "dp_id"]), ["cluster"])
+    return found.join(named.select("cluster", "hypothesis"), ["cluster"], "left").join(checked, ["cluster"], "left").select("cluster", "size", F.round("coherence", 6).alias("coherence"), "hypothesis", F.coalesce("explained", F.lit(0.0)).alias("explained"), F.coalesce("admitted", F.lit(False)).alias("admitted"))
 
 
 def verify_abduction(spark: SparkSession, d: str) -> Q:

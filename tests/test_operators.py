@@ -353,3 +353,19 @@ def test_clusters_of_a_large_group_are_those_of_the_whole(spark):
     got = residual.clusters(df, "g", encode=lambda texts: np.array([[float(x) for x in t.split()] for t in texts]), whole_below=20).collect()
     labels = dense.hdbscan(v, 3)
     assert sorted(r.dp_ids for r in got) == sorted([f"d{i:03}" for i in np.flatnonzero(labels == c)] for c in set(labels) - {-1})
+
+
+def test_residual_clusters_are_sought_over_all_documents(spark, tmp_path):
+    import datetime as dt
+
+    from tessera.plans import lift_queries
+
+    texts = ["pump seal cracked at night", "pump seal cracked by night", "the pump seal cracked at night", "a pump seal cracked at night", "a choir rehearses in the hall"]
+    at = dt.datetime(2024, 1, 1)
+    points = [(f"d{i}", None if i == 3 else i, t, at) for i, t in enumerate(texts)]
+    spark.createDataFrame(points, "dp_id string, doc_id long, text string, written_at timestamp").write.parquet(f"{tmp_path}/data_points.parquet")
+    cells = [("h", f"d{i}", "unchanged", 1.0, 0.0, "neutral", "m", 0.5, at) for i in range(5)]
+    spark.createDataFrame(cells, "hyp_id string, dp_id string, change string, lift double, log_lift double, verdict string, model string, relatedness double, scored_at timestamp").write.parquet(f"{tmp_path}/lift_cache.parquet")
+    assert [r.dp_ids for r in lift_queries.residual_clusters(spark, str(tmp_path)).collect()] == [["d0", "d1", "d2", "d3"]]
+    got = lift_queries.missing_hypotheses(spark, str(tmp_path)).collect()
+    assert [r["size"] for r in got] == [4] and "pump" in got[0].hypothesis
