@@ -5,12 +5,11 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scale, text
-from tessera.operators import dense, evaluation
+from tessera.operators import density, evaluation
 from tessera.plans import settings as S
 from tessera.plans.shared import shared_dir, table
 from tessera.sources import scenario
@@ -75,16 +74,10 @@ def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 
 def density_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Density clusters in every case of a hundred consecutive vectors: their sizes."""
-    rows = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("case_id"), F.col("vec_id").alias("vec_id"), F.col("embedding").alias("vec"))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        labels = dense.hdbscan(np.stack([np.asarray(x, dtype=float) for x in pdf["vec"]]), S.DEFAULTS.min_cluster)
-        return pd.DataFrame({"case_id": pdf["case_id"], "vec_id": pdf["vec_id"], "cluster": labels})
-
-    placed = rows.groupBy("case_id").applyInPandas(one, "case_id long, vec_id long, cluster int")
-    return placed.groupBy("case_id", "cluster").agg(F.count("*").alias("size"))
+    """Density clusters of all vectors: their sizes, noise as -1."""
+    rows = table(spark, d, "embeddings").where("vec_id is not null and embedding is not null").select(F.lit(0).alias("case_id"), "vec_id", "embedding")
+    codes = density.coded(rows, "case_id", "vec_id", "embedding", lambda vs: np.stack([np.asarray(x, dtype=float) for x in vs]))
+    return density.labelled(codes, "case_id", "vec_id", S.DEFAULTS.min_cluster).groupBy("cluster").agg(F.count("*").alias("size"))
 
 
 def streamed_scores(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -369,3 +370,14 @@ def test_residual_clusters_are_sought_over_all_documents(spark, tmp_path):
     assert [r.dp_ids for r in lift_queries.residual_clusters(spark, str(tmp_path)).collect()] == [["d0", "d1", "d2", "d3"]]
     got = lift_queries.missing_hypotheses(spark, str(tmp_path)).collect()
     assert [r["size"] for r in got] == [4] and "pump" in got[0].hypothesis
+
+
+def test_density_clusters_span_all_vectors(spark, tmp_path):
+    from tessera.plans import eval_queries
+
+    rng = np.random.default_rng(9)
+    v = np.concatenate([rng.normal(c, 0.1, (120, 4)) for c in (0, 5)])[np.arange(240) % 2 * 120 + np.arange(240) // 2]
+    spark.createDataFrame([(i, x.tolist(), i % 2) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    sizes = Counter(dense.hdbscan(v.astype(np.float32).astype(float), 3).tolist())
+    got = eval_queries.density_clusters(spark, str(tmp_path)).collect()
+    assert sorted(r["size"] for r in got) == sorted(sizes.values())
