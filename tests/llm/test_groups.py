@@ -140,30 +140,74 @@ def test_same_code_at_other_sites_stays_apart(spark):
     assert groups(spark, []) == set()
 
 
-def test_linkage_is_average_linkage(spark):
-    rng = np.random.default_rng(4)
-    n = 14
-    s = np.round(rng.random((n, n)), 3)
-    s = np.triu(s, 1)
-    keep = [(f"{i:02}", f"{j:02}", float(s[i, j])) for i in range(n) for j in range(i + 1, n) if s[i, j] > 0.4]
-    got = {r.node: r.cluster for r in clusters.linkage(spark.createDataFrame(keep, "a string, b string, s double"), spark.createDataFrame([(f"{i:02}", 1 + i % 3) for i in range(n)], "node string, size long"), 0.55).collect()}
-    full = np.zeros((n, n))
-    for a, b, v in keep:
-        full[int(a), int(b)] = full[int(b), int(a)] = v
-    size = {i: 1 + i % 3 for i in range(n)}
-    live, member = set(range(n)), {i: {i} for i in range(n)}
+def vector_nodes(spark, m, sizes):
+    """Nodes of the rows of a matrix of features."""
+    rows = [(f"{i:04}", int(z), [int(x) for x in np.flatnonzero(v)], [float(x) for x in v[v > 0]], [0.0] * int((v > 0).sum())) for i, (v, z) in enumerate(zip(m, sizes, strict=True))]
+    return spark.createDataFrame(rows, "node string, size long, f array<long>, w array<double>, o array<double>")
+
+
+def average_linkage(m, sizes, tags, threshold):
+    """All rounds over the whole matrix of average similarities, which are kept as sums over pairs of members."""
+    sums = (m @ m.T) * np.outer(sizes, sizes)
+    size, member, live = list(sizes), {i: {i} for i in range(len(m))}, list(range(len(m)))
     while True:
-        best = max(((full[i, j], -i, -j) for i in live for j in live if i < j), default=(0,))
-        if best[0] < 0.55:
-            break
-        i, j = -best[1], -best[2]
-        for k in live - {i, j}:
-            full[i, k] = full[k, i] = (size[i] * full[i, k] + size[j] * full[j, k]) / (size[i] + size[j])
-        size[i] += size[j]
-        member[i] |= member.pop(j)
-        live.discard(j)
-    want = {f"{x:02}": f"{min(v):02}" for v in member.values() for x in v}
-    assert {k: v for k, v in got.items()} == {k: want[k] for k in got}
+        s = np.array([[sums[i, j] / (size[i] * size[j]) for j in live] for i in live])
+        best = {i: j for i, j, _, _ in clusters._choices(s, [tags[i] for i in live], threshold)}
+        pairs = [(live[i], live[j]) for i, j in best.items() if i < j and best.get(j) == i]
+        if not pairs:
+            return {frozenset(v) for v in member.values()}
+        for a, b in pairs:
+            sums[a] += sums[b]
+            sums[:, a] += sums[:, b]
+            size[a] += size[b]
+            member[a] |= member.pop(b)
+            live.remove(b)
+
+
+@pytest.mark.parametrize("features", [1, 3])
+def test_linkage_is_average_linkage(spark, features):
+    rng = np.random.default_rng(4)
+    m = rng.random((40, 12)) * (rng.random((40, 12)) < 0.25) + np.eye(12)[rng.integers(0, 12, 40)] * features
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    sizes = rng.integers(1, 4, 40)
+    nodes = vector_nodes(spark, m, sizes)
+    tags = [r.t for r in nodes.select("node", F.xxhash64("node").alias("t")).orderBy("node").collect()]
+    want = average_linkage(m, sizes, tags, 0.8)
+    report = []
+    got = defaultdict(set)
+    placed = {r.node: r.cluster for r in clusters.linkage(nodes, report=report).collect()}
+    for i in range(40):
+        got[placed.get(f"{i:04}", f"{i:04}")].add(i)
+    assert {frozenset(v) for v in got.values()} == want
+    assert any(len(v) > 2 for v in want) and sum(r["merges"] + r["in_place"] for r in report) == 40 - len(want)
+
+
+def test_lists_larger_than_a_block_lose_no_pair(spark):
+    n = 3 * clusters.BLOCK
+    m = np.zeros((n, n + 1))
+    m[:, 0] = 0.55  # all share a feature that is in every prefix, yet only rows of one kind are similar
+    for i in range(n):
+        m[i, 1 + (i % 3 if i < 40 else i)] = (1 - 0.55**2) ** 0.5
+    placed = {r.node: r.cluster for r in clusters.linkage(vector_nodes(spark, m, [1] * n)).collect()}
+    got = defaultdict(set)
+    for i in range(n):
+        got[placed.get(f"{i:04}", f"{i:04}")].add(i)
+    assert sorted(v for v in got.values() if len(v) > 1)[:3] == [{i for i in range(40) if i % 3 == k} for k in range(3)]
+    assert len(got) == 3 + n - 40
+
+
+def test_records_without_a_code_cluster_by_their_words(spark):
+    rows = [(f"a{i}", t) for i, t in enumerate(["The old bridge near Norwick fell into the river at dawn", "the old bridge near Norwick fell into the river at dawn!", "At dawn the old bridge near Norwick fell into the river again"])]
+    rows += [("b1", "Nobody saw the harbour master leave"), ("b2", "Rain is expected over the southern hills"), ("b3", "")]
+    assert groups(spark, rows) == {frozenset(["a0", "a1", "a2"])}
+
+
+def test_an_item_that_a_third_of_all_rows_report_is_one_cluster(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(4)).capitalize()
+    hot = [(f"h{i}", f"Pump QX-1234 at Norwickham lost pressure, as {word()} {word()} wrote.") for i in range(300)]
+    rest = [(f"r{i}", f"Valve {rng.choice('ABCD')}K-{1000 + i} at {word()} lost pressure, as {word()} {word()} wrote.") for i in range(600)]
+    assert groups(spark, hot + rest) == {frozenset(i for i, _ in hot)}
 
 
 # ------------------------------------------------------------------------------------------ p8, p9
