@@ -121,7 +121,7 @@ def _counts(seen: dict[str, list[int]]) -> pd.DataFrame:
 
 
 def profiles(records: DataFrame) -> DataFrame:
-    """(dp_id, code, names, node) of the records that may be in a cluster; ``node`` names their report.
+    """(dp_id, code, names, node) of the records that may be in a cluster, repeated rows included; ``node`` names their report.
 
     Names are words that few records have, or mostly with a capital. Records of a code that fewer than ``LEAST_SIZE`` share are
     left out, as they are similar to no others.
@@ -137,8 +137,8 @@ def profiles(records: DataFrame) -> DataFrame:
     several = coded.where("code is not null").groupBy("code").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SIZE).select("code")
     of_code = coded.join(several, "code", "left_semi").select("dp_id", "code", F.filter("names", lambda w: ~w.isin(common)).alias("names"))
     without = coded.where("code is null").select("dp_id", "code", "names")
-    kept = of_code.unionByName(without).where(F.size("names") > 0).dropDuplicates(["dp_id"])
-    return kept.withColumn("node", F.concat_ws(" ", "code", F.hex(F.xxhash64("names")), F.hex(F.hash("names"))))
+    kept = of_code.unionByName(without).where(F.size("names") > 0)
+    return kept.withColumn("node", F.concat_ws(" ", "code", F.hex(F.xxhash64("names"))))
 
 
 # ------------------------------------------------------------------------------------------------ vectors
@@ -148,45 +148,49 @@ def _near_forms(name: Column) -> Column:
     return F.array_distinct(F.concat(F.array(name), F.transform(at, lambda i: F.concat(F.substring(name, 1, i - 1), F.substring(name, i + 1, F.length(name))))))
 
 
-def _spelt(support: DataFrame, totals: DataFrame) -> DataFrame:
+def _spelt(support: DataFrame) -> DataFrame:
     """(code, name, better): names that are one letter off a better supported one, for codes whose reports have no name in common."""
-    most = support.groupBy("code").agg(F.max("n").alias("most"))
-    unsettled = most.join(totals, "code").where("most < m").select("code")
+    unsettled = support.groupBy("code").agg(F.max(F.col("n") - F.col("m")).alias("short")).where("short < 0").select("code")
     forms = support.join(unsettled, "code", "left_semi").where(F.length("name") >= 5).select("code", "name", "n", F.explode(_near_forms(F.col("name"))).alias("form"))
     hub = forms.groupBy("code", "form").agg(F.max(F.struct("n", "name")).alias("hub"), F.count("*").alias("k")).where("k > 1").select("code", "form", "hub")
     led = forms.join(hub, ["code", "form"]).where("hub.name <> name").groupBy("code", "name").agg(F.max("hub").alias("hub"))
     return led.select("code", "name", F.col("hub.name").alias("better"))
 
 
-def vectors(reports: DataFrame) -> DataFrame:
-    """(node, size, f, w, o) of ``reports(node, code, names, size)``: the features of a node, their weights, their place in the global order."""
+def vectors(reports: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, size, f, w, o, prefix) of ``reports(node, code, names)``: the features of a node, their weights, their place in the global order.
+
+    All vectors are at most 1 long. Those with an identifier have it first, and what follows is shorter than the threshold.
+    """
+    one = F.lit(1).cast("long").alias("size")
     of_code = reports.where("code is not null")
     totals = of_code.groupBy("code").agg(F.count("*").alias("m")).where("m > 1")
-    said = stored(of_code.join(totals, "code").select("node", "size", "code", "m", F.explode("names").alias("name")))
-    support = said.groupBy("code", "name").agg(F.count("*").alias("n"))
-    spelt = _spelt(support, totals)
-    told = said.join(spelt, ["code", "name"], "left").select("node", "size", "code", "m", F.coalesce("better", "name").alias("name")).dropDuplicates(["node", "name"])
+    said = stored(of_code.join(totals, "code").select("node", "code", "m", F.explode("names").alias("name")))
+    support = stored(said.groupBy("code", "name").agg(F.count("*").alias("n"), F.max("m").alias("m")))
+    spelt = support.join(_spelt(support), ["code", "name"], "left").withColumn("better", F.coalesce("better", "name"))
+    backed = spelt.groupBy("code", "better").agg(F.sum("n").alias("backing"))
     # a name of one report only is nothing to share
-    shared = told.groupBy("code", "name").agg(F.count("*").alias("n")).where("n > 1")
-    weight = F.pow(F.col("n") / F.col("m"), SUPPORT_POWER)
-    named = told.join(shared, ["code", "name"]).select("node", "size", "code", F.struct(F.xxhash64("code", "name").alias("f"), weight.alias("w"), F.lit(1).cast("double").alias("o")).alias("x"))
-    by_node = named.groupBy("node", "size", "code").agg(F.collect_list("x").alias("x"))
+    weight = F.pow(F.least(F.lit(1.0), F.col("backing") / F.col("m")), SUPPORT_POWER)
+    shared = spelt.join(backed.where("backing > 1"), ["code", "better"]).select("code", "name", F.struct(F.xxhash64("code", "better").alias("f"), weight.alias("w")).alias("x"))
+    named = said.join(shared, ["code", "name"]).groupBy("node").agg(F.collect_set("x").alias("x"), F.first(F.xxhash64("code")).alias("key"))
     norm = F.sqrt(F.lit(2.0) * F.aggregate("x", F.lit(0.0), lambda a, e: a + e["w"] * e["w"]))
-    coded = by_node.select("node", "size", "x", norm.alias("norm"), F.xxhash64("code").alias("key")).select(
+    half = F.lit(0.5**0.5)
+    coded = named.select("node", F.array_sort("x").alias("x"), norm.alias("norm"), "key").select(
         "node",
-        "size",
+        one,
         F.concat(F.array("key"), F.transform("x", lambda e: e["f"])).alias("f"),
-        F.concat(F.array(F.lit(0.5**0.5)), F.transform("x", lambda e: e["w"] / F.col("norm"))).alias("w"),
-        F.concat(F.array(F.lit(0.0)), F.transform("x", lambda e: e["o"])).alias("o"),
+        F.concat(F.array(half), F.transform("x", lambda e: e["w"] / F.col("norm"))).alias("w"),
+        F.concat(F.array(F.lit(0.0)), F.transform("x", lambda e: F.lit(1.0))).alias("o"),
+        F.array("key").alias("prefix"),
     )
     free = reports.where("code is null")
-    words = free.select("node", "size", F.explode("names").alias("word"))
+    words = free.select("node", F.explode("names").alias("word"))
     held = words.groupBy("word").agg(F.count("*").alias("n"))
     rarity = F.log(1 + free.agg(F.count("*").alias("c")).first().c / F.col("n"))
-    weighed = words.join(held, "word").groupBy("node", "size").agg(F.collect_list(F.struct(F.xxhash64("word").alias("f"), rarity.alias("w"), F.col("n").cast("double").alias("o"))).alias("x"))
+    weighed = words.join(held, "word").groupBy("node").agg(F.collect_list(F.struct(F.xxhash64("word").alias("f"), rarity.alias("w"), F.col("n").cast("double").alias("o"))).alias("x"))
     length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, e: a + e["w"] * e["w"]))
-    worded = weighed.withColumn("norm", length).select("node", "size", F.transform("x", lambda e: e["f"]).alias("f"), F.transform("x", lambda e: e["w"] / F.col("norm")).alias("w"), F.transform("x", lambda e: e["o"]).alias("o"))
-    return coded.unionByName(worded)
+    worded = weighed.withColumn("norm", length).select("node", one, F.transform("x", lambda e: e["f"]).alias("f"), F.transform("x", lambda e: e["w"] / F.col("norm")).alias("w"), F.transform("x", lambda e: e["o"]).alias("o"))
+    return coded.unionByName(pooled(worded, threshold))
 
 
 # ------------------------------------------------------------------------------------------------ linkage
@@ -218,6 +222,15 @@ def _pooled(threshold: float) -> object:
     return pool
 
 
+_NODE = "node string, size long, f array<long>, w array<double>, o array<double>, prefix array<long>"
+
+
+def pooled(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``nodes(node, size, f, w, o)`` in the global order and with their prefixes; rows of one node become their mean."""
+    grouped = nodes.groupBy("node").agg(F.sum("size").alias("size"), F.collect_list(F.struct("size", "f", "w", "o")).alias("parts"))
+    return grouped.mapInPandas(_pooled(threshold), _NODE)
+
+
 def _tie(a: int, b: int) -> int:
     """A hash of a pair of node hashes, alike from both sides."""
     x = (a ^ b) * 0x9E3779B97F4A7C15 + (a + b) * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1
@@ -305,16 +318,14 @@ def _compare(threshold: float) -> object:
 
 
 def linkage(nodes: DataFrame, threshold: float = THRESHOLD, report: list[dict[str, int]] | None = None) -> DataFrame:
-    """(node, cluster) of ``nodes(node, size, f, w, o)`` that have a candidate; average linkage of all mutual best pairs a round.
+    """(node, cluster) of ``nodes(node, size, f, w, o, prefix)`` that have a candidate; average linkage of all mutual best pairs a round.
 
     ``report`` gets the nodes, the merges in place and the merges between lists of every round.
     """
-    parts = nodes.select("node", "size", F.array(F.struct("size", "f", "w", "o")).alias("parts"))
-    schema = "node string, size long, f array<long>, w array<double>, o array<double>, prefix array<long>"
     placed: DataFrame | None = None
     turn, every_pair = 0, False
     while True:
-        live = stored(parts.mapInPandas(_pooled(threshold), schema))
+        live = stored(nodes)
         listed = live.select("node", F.explode("prefix").alias("key"))
         counts = listed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         # lists of one node have no pair; a node is alone in its list when that is all of its prefix and the list one block
@@ -354,17 +365,15 @@ def linkage(nodes: DataFrame, threshold: float = THRESHOLD, report: list[dict[st
         waiting = best.select(F.col("a").alias("node"))
         in_large = listed.join(large.select("key"), "key", "left_semi").select("node")
         going = live.join(waiting.unionByName(in_large).dropDuplicates(), "node", "left_semi")
-        going = going.join(merged, "node", "left").withColumn("node", F.coalesce("cluster", "node"))
-        parts = going.groupBy("node").agg(F.sum("size").alias("size"), F.collect_list(F.struct("size", "f", "w", "o")).alias("parts"))
+        nodes = pooled(going.join(merged, "node", "left").withColumn("node", F.coalesce("cluster", "node")), threshold)
         turn += 1
 
 
 def clustered(records: DataFrame, report: list[dict[str, int]] | None = None) -> DataFrame:
-    """(dp_id, code, names, cluster): every record that may be in a cluster, with the name of its cluster."""
+    """(dp_id, node, cluster): every record that may be in a cluster, once, with its report and the name of its cluster."""
     own = stored(profiles(records))
-    reports = own.groupBy("node", "code", "names").agg(F.count("*").alias("size"))
-    found = linkage(vectors(reports), report=report)
-    return own.join(found, "node", "left").select("dp_id", "code", "names", F.coalesce("cluster", "node").alias("cluster"))
+    found = linkage(vectors(own.select("node", "code", "names").dropDuplicates(["node"])), report=report)
+    return own.select("dp_id", "node").dropDuplicates(["dp_id"]).join(found, "node", "left").select("dp_id", "node", F.coalesce("cluster", "node").alias("cluster"))
 
 
 def _kept(rows: DataFrame) -> DataFrame:
@@ -379,13 +388,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each cluster with its size and the members whose names are most usual in it."""
+    """Each cluster with its size and the members whose report is most usual in it."""
     rows = stored(clustered(table(spark, sf_dir, "data_points")))
     kept = _kept(rows)
-    own = rows.join(kept, "cluster")
-    said = own.select("cluster", "dp_id", F.explode("names").alias("name"))
-    usual = said.groupBy("cluster", "name").agg(F.count("*").alias("n"))
-    scores = said.join(usual, ["cluster", "name"]).groupBy("cluster", "dp_id").agg((F.avg("n")).alias("score"))
+    usual = rows.groupBy("cluster", "node").agg(F.count("*").alias("score"))
+    scores = rows.join(kept.select("cluster"), "cluster", "left_semi").join(usual, ["cluster", "node"]).select("cluster", "dp_id", "score")
     # the best of each of some slices first, so that no task ranks a whole cluster
     order = [F.desc("score"), F.asc("dp_id")]
     sliced = Window.partitionBy("cluster", F.pmod(F.xxhash64("dp_id"), F.lit(64))).orderBy(*order)

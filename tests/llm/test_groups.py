@@ -143,7 +143,7 @@ def test_same_code_at_other_sites_stays_apart(spark):
 def vector_nodes(spark, m, sizes):
     """Nodes of the rows of a matrix of features."""
     rows = [(f"{i:04}", int(z), [int(x) for x in np.flatnonzero(v)], [float(x) for x in v[v > 0]], [0.0] * int((v > 0).sum())) for i, (v, z) in enumerate(zip(m, sizes, strict=True))]
-    return spark.createDataFrame(rows, "node string, size long, f array<long>, w array<double>, o array<double>")
+    return clusters.pooled(spark.createDataFrame(rows, "node string, size long, f array<long>, w array<double>, o array<double>"))
 
 
 def average_linkage(m, sizes, tags, threshold):
@@ -211,6 +211,12 @@ def test_an_item_that_a_third_of_all_rows_report_is_one_cluster(spark):
 
 
 # ------------------------------------------------------------------------------------------ p8, p9
+def test_more_shards_than_blocks_of_old_get_their_fair_share(spark):
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"), F.lit("one two three").alias("text"))
+    rows = mixing.mix(docs, {"a": (0.5, 2), "b": (0.5, 1)}, shards=700).groupBy("shard").agg(F.countDistinct("source").alias("n")).collect()
+    assert len(rows) == 700 and sum(r.n == 2 for r in rows) > 600
+
+
 def test_packing_is_whole_tight_and_bounded(spark):
     rng = random.Random(5)
     sizes = [(i, min(1500, int(rng.lognormvariate(4.5, 1)))) for i in range(1200)] + [(5000, 0), (5001, 700)]
