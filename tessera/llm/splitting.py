@@ -64,7 +64,8 @@ def cuts(text: str, max_chars: int, overlap_chars: int) -> list[tuple[int, int]]
         if n - first <= max_chars:
             pieces.append((first, n))
             return pieces
-        lo, hi = start + least, min(first + max_chars, n - 1)
+        # the piece after the first begins ``overlap`` before this cut, and after the text's start
+        lo, hi = max(start + least, overlap + 1), min(first + max_chars, n - 1)
         mark = lo + int(hashes[lo : hi + 1].argmin())
         for at in ranks:
             a, b = np.searchsorted(at, lo), np.searchsorted(at, hi, side="right")
@@ -124,11 +125,30 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces(_items(spark, sf_dir), table(spark, sf_dir, "size_limits"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces}
+def p4_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of the pieces of every item cut: they run from its start to its end, none is over the limit, each overlaps the one before as asked, and their texts are the item's."""
+    items, limits = _items(spark, sf_dir), table(spark, sf_dir, "size_limits")
+    caps = limits.groupBy("tbl").agg(F.min("max_chars").alias("cap"), F.min(F.coalesce("overlap_chars", F.lit(0))).alias("asked"))
+    by_no = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "char_start", "char_end"))), lambda x: x[c])
+    size = F.col("char_end") - F.col("char_start")
+    found = pieces(items, limits).join(F.broadcast(caps), "tbl")
+    rows = found.groupBy("tbl", "item_id", "cap", "asked").agg(by_no("char_start").alias("s"), by_no("char_end").alias("e"), F.max(size).alias("most"), F.min(size).alias("least"), F.bool_and(F.length("text") == size).alias("texts"))
+    at = F.sequence(F.lit(1), F.size("s") - 1)
+    real = F.greatest(F.lit(0), F.least(F.col("asked"), F.floor(F.col("cap") / 2)))
+    overlaps = F.forall(at, lambda i: F.get("e", i - 1) - F.get("s", i) == real)
+    return rows.select("tbl", "item_id", F.get("s", F.lit(0)).alias("first_char"), F.get("e", F.size("e") - 1).alias("end_char"), ((F.col("most") <= F.col("cap")) & (F.col("least") > 0)).alias("within_limit"), overlaps.alias("overlaps"), "texts")
+
+
+QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p4_cover": p4_cover}
 SQL = {
     "p4_found": """select distinct i.tbl, i.item_id
                    from (select 'documents' tbl, cast(doc_id as varchar) item_id, text from documents
                          union all select 'chunks', chunk_id, text from chunks) i
                    join (select tbl, min(max_chars) max_chars from size_limits group by 1) l using (tbl)
-                   where length(i.text) > l.max_chars and i.item_id is not null"""
+                   where length(i.text) > l.max_chars and i.item_id is not null""",
+    "p4_cover": """select distinct i.tbl, i.item_id, 0 first_char, length(i.text) end_char, true within_limit, true overlaps, true texts
+                   from (select 'documents' tbl, cast(doc_id as varchar) item_id, text from documents
+                         union all select 'chunks', chunk_id, text from chunks) i
+                   join (select tbl, min(max_chars) max_chars from size_limits group by 1) l using (tbl)
+                   where length(i.text) > l.max_chars and i.item_id is not null""",
 }
