@@ -68,39 +68,48 @@ def _halves(raw: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
+def _check(raw: bytes) -> int:
+    return zlib.crc32(raw) << 24 | len(raw) & 0xFFFFFF
+
+
 def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        his, los, checks, fhis, flos = [], [], [], [], []
+        his, los, checks, fhis, flos, fchecks = [], [], [], [], [], []
         for t in b["text"]:
             plain, by_field = canonical(t)
             raw = plain.encode("utf-8", "surrogatepass")
             hi, lo = _halves(raw)
-            fhi, flo = (None, None) if by_field is None else _halves(b"fields\n" + by_field.encode("utf-8", "surrogatepass"))
+            fhi, flo, fcheck = None, None, None
+            if by_field is not None:
+                fields = b"fields\n" + by_field.encode("utf-8", "surrogatepass")
+                fhi, flo = _halves(fields)
+                fcheck = _check(fields)
             his.append(hi)
             los.append(lo)
-            checks.append(zlib.crc32(raw) << 24 | len(raw) & 0xFFFFFF)
+            checks.append(_check(raw))
             fhis.append(fhi)
             flos.append(flo)
-        yield pd.DataFrame({"tbl": b["tbl"], "id": b["id"], "hi": his, "lo": los, "check": checks, "fhi": pd.array(fhis, dtype="Int64"), "flo": pd.array(flos, dtype="Int64")})
+            fchecks.append(fcheck)
+        yield pd.DataFrame({"tbl": b["tbl"], "id": b["id"], "hi": his, "lo": los, "check": checks, "fhi": pd.array(fhis, dtype="Int64"), "flo": pd.array(flos, dtype="Int64"), "fcheck": pd.array(fchecks, dtype="Int64")})
 
 
 def _parts(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(tbl, id, hi, lo, check) of the records that may have copies, by the key of their group; and of all others, by their own.
 
-    hi and lo are the 128-bit hash; check is an independent hash of the same canonical form (-1 for records of fields), so that a
+    hi and lo are the 128-bit hash; check is an independent hash of the same canonical form (the sorted fields of a record), so that a
     collision of the first shows as two checks under one key. Counts by hash, combined before the shuffle, tell the few records
     that share a hash or consist of fields; only those are compared further. The flat layout of a record of fields (same
     words, separators lost) is led to the key of its fields.
     """
-    schema = "tbl string, id string, hi long, lo long, check long, fhi long, flo long"
+    schema = "tbl string, id string, hi long, lo long, check long, fhi long, flo long, fcheck long"
     hashed = stored(items.where("id is not null and text is not null").select("tbl", "id", "text").mapInPandas(_hashes, schema))
     counts = hashed.groupBy(*_KEY).agg(F.count("*").alias("n"), F.count("fhi").alias("n_fields"))
     shared = counts.where("n > 1 or n_fields > 0").select(*_KEY)
     some = hashed.join(shared, _KEY, "left_semi").dropDuplicates()
-    records = some.where("fhi is not null").groupBy(*_KEY).agg(F.min(F.struct("fhi", "flo")).alias("f"))
+    records = some.where("fhi is not null").groupBy(*_KEY).agg(F.min(F.struct("fhi", "flo", "fcheck")).alias("f"))
     linked = some.join(records, _KEY, "left")
-    fhi, flo = F.coalesce("fhi", "f.fhi"), F.coalesce("flo", "f.flo")
-    keyed = linked.select("tbl", "id", F.coalesce(fhi, "hi").alias("hi"), F.coalesce(flo, "lo").alias("lo"), F.when(fhi.isNull(), F.col("check")).otherwise(F.lit(-1)).alias("check"))
+    fhi, flo, fcheck = (F.coalesce(c, f"f.{c}") for c in ("fhi", "flo", "fcheck"))
+    keyed = linked.select("tbl", "id", F.coalesce(fhi, "hi").alias("hi"), F.coalesce(flo, "lo").alias("lo"), F.coalesce(fcheck, "check").alias("check"))
     alone = hashed.join(counts.where("n = 1 and n_fields = 0").select(*_KEY), _KEY, "left_semi").select("tbl", "id", "hi", "lo", "check")
     return keyed.dropDuplicates(), alone
 
