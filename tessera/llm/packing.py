@@ -25,7 +25,6 @@ from tessera.plans.shared import stored, table
 
 #: Items a partition packs at once.
 PARTITION_ITEMS = 50_000
-ROUNDS = 4
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -125,7 +124,9 @@ def packings(sizes: DataFrame, capacity_of: dict[str, int]) -> DataFrame:
     room = F.create_map(*[F.lit(v) for kv in capacity_of.items() for v in kv])[F.col("container")]
     closed: list[DataFrame] = []
     columns = ["container", "round", "part", "bin", "doc_id", "part_no", "tokens"]
-    for r in range(1, ROUNDS + 1):
+    r = 0
+    while True:  # every round saves a bin at least
+        r += 1
         open_bins = (F.col("gap") > 0) & (F.col("fill") < room)
         loose = packed.where(open_bins)
         before = _bins(loose)
