@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from tessera.llm.tokens import TOKENIZER_DIR, token_sizes
 from tessera.plans.shared import stored, table
 
-#: Blocks of a source: bounds what the driver plans with, whatever the size of the source.
-BLOCKS = 512
+#: Blocks of a source: so many, or so many a shard where there are more shards; bounds what the driver plans with, whatever the size of the source.
+BLOCKS, SHARD_BLOCKS = 512, 4
 #: Output shards: at least so many, and so many more that a shard holds about this many tokens and fits a task.
 SHARDS, SHARD_TOKENS, MOST_SHARDS = 32, 50_000_000, 8_192
 _SEED = 4_127
@@ -79,15 +79,19 @@ def split_tree(draws: np.ndarray, shards: int, rng: np.random.Generator) -> np.n
     return np.concatenate([split_tree(take, left, rng), split_tree(draws - take, shards - left, rng)])
 
 
+def shards_of(total: float) -> int:
+    return min(MOST_SHARDS, max(SHARDS, math.ceil(total / SHARD_TOKENS)))
+
+
 def plan(blocks: pd.DataFrame, targets: dict[str, tuple[float, int]], min_met: float = 1.0, shards: int | None = None) -> pd.DataFrame:
     """The draws: (source, block, repeat_no, shard, budget); budget is null for a whole block, else the tokens to take of it.
 
-    ``blocks`` is (source, block, tokens), at most ``BLOCKS`` rows a source.
+    ``blocks`` is (source, block, tokens), a bounded number of rows a source.
     """
     rng = np.random.default_rng(_SEED)
     available = {str(s): int(t) for s, t in blocks.groupby("source")["tokens"].sum().items()}
     total = mix_size(available, targets, min_met)
-    shards = shards or min(MOST_SHARDS, max(SHARDS, math.ceil(total / SHARD_TOKENS)))
+    shards = shards or shards_of(total)
     present = sum(share for s, (share, _) in targets.items() if available.get(s))
     rows: list[tuple[str, int, int, float | None]] = []
     names = [s for s in targets if available.get(s)]
@@ -119,11 +123,14 @@ def mix(documents: DataFrame, targets: dict[str, tuple[float, int]], min_met: fl
     spark = documents.sparkSession
     wanted = documents.where("doc_id is not null and text is not null").select("doc_id", source_name("source").alias("source"), "text").where(F.col("source").isin(*targets))
     sized = token_sizes(wanted, "source", folder=folder).groupBy("doc_id").agg(F.max_by(F.struct("source", "tokens"), "tokens").alias("x")).select("doc_id", "x.source", "x.tokens")
-    docs = stored(sized.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(_SEED)), F.lit(BLOCKS))))
+    docs = stored(sized)
+    available = {r.source: r.tokens for r in docs.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
+    shards = shards or shards_of(mix_size(available, targets, min_met))
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(_SEED)), F.lit(max(BLOCKS, SHARD_BLOCKS * shards))))
     blocks = docs.groupBy("source", "block").agg(F.sum("tokens").alias("tokens")).toPandas()
     draws = plan(blocks, targets, min_met, shards)
     schema = "source string, block long, repeat_no int, shard int, budget double"
-    # at most sources x blocks x repeats rows: the bound of what is broadcast
+    # at most sources x blocks x repeats rows, the blocks bounded by MOST_SHARDS: the bound of what is broadcast
     planned = spark.createDataFrame([(r.source, int(r.block), int(r.repeat_no), int(r.shard), None if math.isnan(r.budget) else float(r.budget)) for r in draws.astype({"budget": float}).itertuples()], schema)
     taken = docs.join(F.broadcast(planned), ["source", "block"])
     part = taken.where("budget is not null")
