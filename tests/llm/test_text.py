@@ -1,6 +1,7 @@
 """Sentences, format duplicates, splitting, answers and abuse on small fixtures."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,6 +30,16 @@ CASES = [
     ("Annex 4: open questions\n\nsite: A; item: B; reading: 5 kPa\n• First point. Second half\n• Another\n\nA line that\nis wrapped ends here. And one\nmore.", 6),
     ("DUMP 12345 12345 12345\nText one. Text two.", 3),
     ("Horny and alone, come and ride me. Maintenance sheets mention it. Me. Dupont est venu.", 3),
+    ("今日は雨が降りました明日は晴れるでしょう", 2),
+    ("他走了 但是我留下了 因此没有人知道", 3),
+    ("他说他走了 的时候没有人", 1),
+    ("1. Buy milk\n2. Buy eggs", 2),
+    ("a) one thing. Or two\nb) another thing", 2),
+    ("On the list of 4 May the figure is\n5. It was checked.", 2),
+    ("ຂ້ອຍໄປ ລາວມາ", 2),
+    ("ខ្ញុំទៅ។ គាត់មក។", 2),
+    ("သူသွားတယ်။ ငါနေတယ်။", 2),
+    ("ผลตรวจขาด ไม่มีใคร 他走了 但是我留下了", 4),
     ("", 0),
     ("  \n \t ", 0),
     ("One", 1),
@@ -53,9 +64,23 @@ def test_units_cover_the_text_in_any_mess():
         assert not t[at:].strip()
 
 
-def test_word_lattice_prefers_known_words():
-    assert sentences.word_lattice("無事だった") [-1] == "だった"
-    assert "".join(sentences.word_lattice("封印は無事だったのか")) == "封印は無事だったのか"
+@pytest.mark.parametrize("marks", ["(", "()", "“", "„“”", '"', "(。"])
+def test_many_brackets_take_linear_time(marks):
+    began = time.monotonic()
+    sentences.units((marks * 100_000)[:100_000])
+    assert time.monotonic() - began < 3
+
+
+def test_the_lattice_learns_words_and_what_closes_and_opens_a_sentence(spark):
+    rng = random.Random(2)
+    nouns, ends, starts = ["森林", "海洋", "工場", "水槽", "倉庫"], ["終わり", "止まり"], ["突如", "翌朝"]
+    texts = ["".join(rng.choice(starts) + rng.choice(nouns) + "は" + rng.choice(nouns) + "で" + rng.choice(ends) + "。" for _ in range(4)) for _ in range(300)]
+    lexicon = sentences.learn(spark.createDataFrame([(t,) for t in texts] + [(None,), ("",)], "text string"))
+    assert lexicon.lattice("翌朝倉庫は水槽で終わり") == ["翌朝", "倉庫", "は", "水槽", "で", "終わり"]
+    assert lexicon.words["止まり"][1] > 2 and lexicon.words["突如"][2] > 2 and lexicon.words["海洋"][1] < 0
+    line = "翌朝倉庫は水槽で終わり 突如森林は海洋で止まり"
+    assert [line[s:e] for s, e in sentences.units(line, lexicon)] == line.split() and len(sentences.units(line)) == 1
+    assert sentences.learn(spark.createDataFrame([], "text string")).words.keys() == sentences.Lexicon().words.keys()
 
 
 def test_sentence_rows_take_odd_input(spark):
@@ -91,6 +116,12 @@ def test_copies_and_counts(spark):
     assert format_dups.copies(df.limit(0)).count() == 0
 
 
+def test_records_of_fields_have_a_check_of_their_own(spark):
+    rows = [("t", f"d{i}", t) for i, t in enumerate(["a: 1; b: 2; c: 3", "c: 3; b: 2; a: 1", "a: 1; b: 2; c: 4"])]
+    keyed = {r.id: r.check for r in format_dups._parts(spark.createDataFrame(rows, "tbl string, id string, text string"))[0].collect()}
+    assert keyed["d0"] == keyed["d1"] != keyed["d2"] and min(keyed.values()) > 0
+
+
 def test_a_third_of_all_rows_may_be_copies(spark):
     df = spark.range(9_000).select(F.lit("t").alias("tbl"), F.format_string("%05d", "id").alias("id"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("Same text"), F.repeat(F.lit(" "), (F.col("id") % 5).cast("int")))).otherwise(F.concat(F.lit("other "), F.col("id"))).alias("text"))
     got = format_dups.copies(df)
@@ -101,7 +132,7 @@ def test_a_third_of_all_rows_may_be_copies(spark):
 def test_cuts_cover_overlap_and_stay_within():
     rng = random.Random(5)
     text = " ".join(" ".join("word%d" % rng.randint(0, 99) for _ in range(rng.randint(3, 20))).capitalize() + rng.choice([".", "!", ".\n\n"]) for _ in range(300))
-    for limit, overlap in ((500, 50), (900, 0), (300, 299)):
+    for limit, overlap in ((500, 50), (900, 0), (300, 299), *((200, k) for k in range(0, 101, 10))):
         got = splitting.cuts(text, limit, overlap)
         real = min(overlap, limit // 2)
         assert got[0][0] == 0 and got[-1][1] == len(text) and all(0 < e - s <= limit for s, e in got)
@@ -151,7 +182,7 @@ def test_defects_one_by_one():
     for lang, texts in GOOD.items():
         for t in texts:
             assert ask(t, lang=lang) is None, t
-    for t in (None, "", " ", "​", "N/A", "{}", "—", '""', "(none)", "...", "<empty>"):
+    for t in (None, "", " ", "​", "N/A", "{}", "—", '""', "(none)", "...", "<empty>", "null" + "." * 50, "-" * 60 + "none"):
         assert ask(t) == "empty", t
     assert ask("Fine, it fits the claim well.", change=None) == "empty" and ask(GOOD["en"][0], verdict="-") == "empty"
     for t in ("I am unable to help with that request.", "Diese Anfrage muss ich ablehnen.", "Je dois refuser cette comparaison.", "Lo siento, no puedo valorar esta afirmación.", "As a language model I do not judge claims about Dell."):
