@@ -2,7 +2,7 @@
 
 A document is a bag of sentences; a category occurs in it when it occurs in at least one of them. Sentences are
 scored by a logistic model over words and word pairs (after undoing spellings that hide a word), a document by the
-noisy-or of its sentences. Only documents carry labels, so the likelihood of the labels is maximised through the
+noisy-or of its sentences (of what they have beyond a sentence without evidence). Only documents carry labels, so the likelihood of the labels is maximised through the
 noisy-or, with annotators' votes as soft targets and a small prior on well-known words that carries the model where few
 labels exist. The fitted weights are a bounded dictionary; every sentence of every document is then scored, and
 the best-scoring sentence locates the offence.
@@ -25,14 +25,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm.format_dups import folded
 from tessera.llm.sentences import units
-from tessera.plans.shared import table
+from tessera.plans.shared import spread, table
 
 CATEGORIES = ("abusive", "hateful", "sexual")
 #: Bound of the labelled documents that the model is fitted on, drawn by hash over all that have labels.
 FIT_DOCS = 6_000
 #: Bound of the unlabelled documents that join the fit as weak negatives (they tell names and idiom from offence).
 FIT_UNLABELLED, UNLABELLED_WEIGHT = 3_000, 0.05
-#: A category occurs in a document when a sentence has it with this probability as its likeliest, or with SURE anyhow.
+#: A category occurs in a document when the noisy-or of its sentences is at least this; a sentence counts for its likeliest category, and for
+#: others that it has with SURE anyhow.
 OCCURS, SURE = 0.4, 0.5
 _ROUNDS, _RATE, _RIDGE, _BIAS = 150, 0.2, 0.3, -4.0
 
@@ -206,8 +207,11 @@ def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
                 spans = units(text) if isinstance(text, str) else []
                 z = np.array([m.logits(text[s:e]) for s, e in spans]).reshape(-1, 3)
                 p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                hit = ((p >= OCCURS) & (p == p.max(axis=1, keepdims=True)) | (p >= SURE)).any(axis=0) if len(spans) else [False] * 3
-                some = -np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum(axis=0))
+                # what a sentence has beyond one without evidence: else long texts would score by their length
+                none = np.minimum(0, np.log1p(-np.minimum(p, 1 - 1e-12)) + np.logaddexp(0, m.bias))
+                some = -np.expm1(none.sum(axis=0))
+                counts = (p == p.max(axis=1, keepdims=True)) | (p >= SURE) if len(spans) else p > 1
+                hit = -np.expm1((none * counts).sum(axis=0)) >= OCCURS
                 for i, c in enumerate(CATEGORIES):
                     k = int(p[:, i].argmax()) if len(spans) else -1
                     for name, v in (("doc_id", doc_id), ("source", source), ("category", c), ("score", float(some[i]) if k >= 0 else 0.0), ("top_sentence_score", float(p[k, i]) if k >= 0 else 0.0), ("occurs", bool(hit[i])), ("char_start", spans[k][0] if k >= 0 else None), ("char_end", spans[k][1] if k >= 0 else None)):
@@ -215,7 +219,7 @@ def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
             yield pd.DataFrame(out).astype({"char_start": "Int32", "char_end": "Int32"})
 
     source = F.regexp_replace(F.lower(F.trim("source")), r"[\s-]+", "_").alias("source")
-    return documents.where("doc_id is not null").select("doc_id", "text", source).mapInPandas(rows, schema)
+    return spread(documents.where("doc_id is not null").select("doc_id", "text", source)).mapInPandas(rows, schema)
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

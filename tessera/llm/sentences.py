@@ -75,14 +75,17 @@ class Lexicon:
         total = sum(n for g, (n, _, _) in counts.items() if len(g) == 1)
         after: dict[str, int] = {}
         before: dict[str, int] = {}
-        for g, (n, _, _) in counts.items():
-            after[g[:-1]] = max(after.get(g[:-1], 0), n)
-            before[g[1:]] = max(before.get(g[1:], 0), n)
+        for g, (n, _, _) in counts.items():  # particles are words of their own and tie nothing
+            if g[-1] not in _CLOSED:
+                after[g[:-1]] = max(after.get(g[:-1], 0), n)
+            if g[0] not in _CLOSED:
+                before[g[1:]] = max(before.get(g[1:], 0), n)
         ends = sum(f for g, (_, f, _) in counts.items() if len(g) == 1) / max(1, total)
         starts = sum(o for g, (_, _, o) in counts.items() if len(g) == 1) / max(1, total)
         self.words: dict[str, tuple[float, float, float]] = {}
         for g, (n, f, o) in counts.items():
-            if len(g) == 1 or len(g) <= _WORD_CHARS and after.get(g, 0) <= TIED * n and before.get(g, 0) <= TIED * n or g in _CLOSED:
+            free = after.get(g, 0) <= TIED * n and before.get(g, 0) <= TIED * n and g[0] not in _JOINING and g[-1] not in _JOINING
+            if len(g) == 1 or len(g) <= _WORD_CHARS and free or g in _CLOSED:
                 self.words[g] = (math.log(n / total), _evidence(f, n * ends), _evidence(o, n * starts))
         least = math.log(WORD_SHARE)
         for g in _CLOSED:
