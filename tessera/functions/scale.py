@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from tessera.plans import settings as S
 
 
+#: White space as Unicode has it; the JVM's own class is ASCII.
+SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
+
+
 def col_of(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def change_label(raw: Column | str) -> Column:
-    """The label trimmed and in lower case; anything off the scale, and null, is ``unchanged``."""
-    label = F.lower(F.trim(col_of(raw)))
+    """The label without white space around it and in lower case; anything off the scale, and null, is ``unchanged``."""
+    label = F.lower(F.regexp_replace(col_of(raw), rf"^{SPACE}+|{SPACE}+$", ""))
     return F.when(label.isin(*S.LIFT_OF, S.GUARANTEED), label).otherwise("unchanged")
 
 

@@ -5,14 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.scale import clamp, col_of
+from tessera.functions.scale import SPACE, clamp, col_of
 from tessera.plans import settings as S
 
 
-#: White space as Unicode has it; the JVM's own class is ASCII.
-SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
-
-
 def stripped(text: Column | str) -> Column:
     return F.regexp_replace(col_of(text), rf"^{SPACE}+|{SPACE}+$", "")
 

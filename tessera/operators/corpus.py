@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.functions.vectors import sparse_hashing
+from tessera.functions.vectors import bucket, hash_tokens
 from tessera.plans.settings import DEFAULTS, Settings
 
 
@@ -33,55 +33,85 @@ def sentence_rows(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.posexplode(T.simple_sentences("text")).alias("pos", "sentence"))
 
 
-def adjacent_similarity(sentences: DataFrame) -> DataFrame:
-    """(doc_id, pos, sim): the cosine of each sentence's hashed words with the next one's; rounded, as thresholds compare it."""
-    vectors = sparse_hashing(sentences, ["doc_id", "pos"], "sentence")
-    after = vectors.select("doc_id", (F.col("pos") - 1).alias("pos"), "bucket", F.col("weight").alias("next"))
-    sums = vectors.join(after, ["doc_id", "pos", "bucket"]).groupBy("doc_id", "pos").agg(F.sum(F.col("weight") * F.col("next")).alias("s"))
-    last = sentences.groupBy("doc_id").agg(F.max("pos").alias("last"))
-    gaps = sentences.select("doc_id", "pos").join(last, "doc_id").where("pos < last").drop("last")
-    return gaps.join(sums, ["doc_id", "pos"], "left").select("doc_id", "pos", F.round(F.coalesce("s", F.lit(0.0)), 6).alias("sim"))
+def _counted(buckets: F.Column) -> F.Column:
+    """(k, n): the distinct buckets of a sentence and how many of its words fall into each; linear in the words for a bounded number of buckets."""
+    return F.struct(F.array_distinct(buckets).alias("k"), F.transform(F.array_distinct(buckets), lambda k: F.size(F.filter(buckets, lambda x: x == k)).cast("double")).alias("n"))
 
 
-def trough_thresholds(similarities: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """(doc_id, threshold): the exact percentile, interpolated, of a document's adjacent similarities."""
-    return similarities.groupBy("doc_id").agg(F.expr(f"percentile(sim, {settings.chunk_percentile})").alias("threshold"))
+def _product(a: F.Column, b: F.Column) -> F.Column:
+    own = F.arrays_zip(a["k"].alias("k"), a["n"].alias("n"))
+    return F.aggregate(own, F.lit(0.0), lambda s, x: s + x["n"] * F.coalesce(F.get(b["n"], F.array_position(b["k"], x["k"]) - 1), F.lit(0.0)))
 
 
-def chunk_places(sentences: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """(doc_id, pos, sentence, ord): cuts at troughs of similarity, and after ``chunk_max_sentences``.
+def sentence_gaps(documents: DataFrame) -> DataFrame:
+    """(doc_id, sentences, sims): a document's sentences and the cosines of the hashed words of each with the next one's, in one row.
 
-    With a minimum of one sentence a trough always cuts, so runs between troughs are split evenly by count.
+    Nothing is shuffled: a document's sentences stay where it was read. Cosines are rounded, as thresholds compare them.
     """
-    if settings.chunk_min_sentences != 1:
-        raise ValueError("larger minimums need the sequential fold: use fold_chunks")
-    sims = adjacent_similarity(sentences)
-    cuts = sims.join(trough_thresholds(sims, settings), "doc_id").select("doc_id", (F.col("pos") + 1).alias("pos"), (F.col("sim") <= F.col("threshold")).cast("int").alias("cut"))
-    by_doc = Window.partitionBy("doc_id").orderBy("pos")
-    runs = sentences.join(cuts, ["doc_id", "pos"], "left").withColumn("run", F.sum(F.coalesce("cut", F.lit(0))).over(by_doc))
-    place = F.row_number().over(Window.partitionBy("doc_id", "run").orderBy("pos")) - 1
-    starts = runs.withColumn("starts", (F.pmod(place, F.lit(settings.chunk_max_sentences)) == 0).cast("int"))
-    return starts.select("doc_id", "pos", "sentence", (F.sum("starts").over(by_doc) - 1).cast("int").alias("ord"))
+    split = documents.where("text is not null").select("doc_id", T.simple_sentences("text").alias("sentences"))
+    hashed = split.withColumn("_b", F.transform("sentences", lambda x: F.transform(hash_tokens(x), bucket)))
+    counted = hashed.withColumn("_c", F.transform("_b", _counted))
+    normed = counted.withColumn("_n", F.transform("_c", lambda c: F.sqrt(F.aggregate(c["n"], F.lit(0.0), lambda s, x: s + x * x))))
+
+    def cosine(i: F.Column) -> F.Column:
+        both = F.get("_n", i - 1) * F.get("_n", i)
+        return F.round(F.when(both > 0, _product(F.get("_c", i - 1), F.get("_c", i)) / both).otherwise(0.0), 6)
+
+    n = F.size("sentences")
+    sims = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), cosine)).otherwise(F.array().cast("array<double>"))
+    return normed.select("doc_id", "sentences", sims.alias("sims"))
+
+
+def adjacent_similarity(documents: DataFrame) -> DataFrame:
+    """(doc_id, pos, sim): the cosine of each sentence with the next one."""
+    # an outer generator: of another the optimiser would make a filter that computes the similarities again
+    return sentence_gaps(documents).select("doc_id", F.posexplode_outer("sims").alias("pos", "sim")).where("pos is not null")
+
+
+def _threshold(sims: F.Column, share: float) -> F.Column:
+    """The exact percentile of an array, interpolated; null for an empty one."""
+    ordered, at = F.array_sort(sims), (F.size(sims) - 1) * F.lit(share)
+    low = F.floor(at).cast("int")
+    lower = F.get(ordered, low)
+    return lower + (F.get(ordered, F.least(low + 1, F.size(sims) - 1)) - lower) * (at - low)
+
+
+def trough_thresholds(documents: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """(doc_id, threshold) of documents of more than one sentence."""
+    return sentence_gaps(documents).where(F.size("sentences") > 1).select("doc_id", _threshold(F.col("sims"), settings.chunk_percentile).alias("threshold"))
 
 
 def fold_chunks(sims: F.Column, threshold: F.Column, settings: Settings) -> F.Column:
-    """Chunk numbers of a document's sentences from the array of adjacent similarities, for any minimum: a fold in the JVM."""
-    start = F.struct(F.array(F.lit(0)).alias("ords"), F.lit(1).alias("n"))
+    """The positions at which the chunks of a document begin, for any minimum of sentences: a fold over its similarities."""
+    start = F.struct(F.array(F.lit(0)).alias("starts"), F.lit(1).alias("n"), F.lit(0).alias("pos"))
 
     def step(acc: F.Column, sim: F.Column) -> F.Column:
-        here = F.element_at(acc["ords"], -1)
         cut = (acc["n"] >= settings.chunk_min_sentences) & ((sim <= threshold) | (acc["n"] >= settings.chunk_max_sentences))
-        return F.struct(F.concat(acc["ords"], F.array(F.when(cut, here + 1).otherwise(here))).alias("ords"), F.when(cut, 1).otherwise(acc["n"] + 1).alias("n"))
+        at = acc["pos"] + 1
+        return F.struct(F.when(cut, F.concat(acc["starts"], F.array(at))).otherwise(acc["starts"]).alias("starts"), F.when(cut, 1).otherwise(acc["n"] + 1).alias("n"), at.alias("pos"))
+
+    return F.aggregate(sims, start, step, lambda acc: acc["starts"])
+
 
-    return F.aggregate(sims, start, step, lambda acc: acc["ords"])
+def _run_starts(sims: F.Column, threshold: F.Column, settings: Settings) -> F.Column:
+    """The same for a minimum of one, where every trough cuts: the runs between troughs, split evenly by count, without a fold."""
+    at = F.sequence(F.lit(1), F.size(sims))
+    troughs = F.when(F.size(sims) > 0, F.filter(at, lambda i: F.get(sims, i - 1) <= threshold)).otherwise(F.array().cast("array<int>"))
+    first = F.concat(F.array(F.lit(0)), troughs)
+    ends = F.concat(troughs, F.array(F.size(sims) + 1))
+    return F.flatten(F.zip_with(first, ends, lambda a, b: F.sequence(a, b - 1, F.lit(settings.chunk_max_sentences))))
 
 
 def chunks_of(documents: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """(doc_id, chunk_id, ord, n_sentences, text) of every document."""
-    placed = chunk_places(sentence_rows(documents), settings)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), " ")
-    made = placed.groupBy("doc_id", "ord").agg(F.count("*").alias("n_sentences"), text.alias("text"))
-    return made.select("doc_id", F.concat_ws("::c", F.col("doc_id").cast("string"), F.col("ord").cast("string")).alias("chunk_id"), "ord", "n_sentences", "text")
+    """(doc_id, chunk_id, ord, n_sentences, text): chunks end at troughs of similarity and after ``chunk_max_sentences``, never before ``chunk_min_sentences``."""
+    rows = sentence_gaps(documents).where(F.size("sentences") > 0).withColumn("threshold", _threshold(F.col("sims"), settings.chunk_percentile))
+    starts = (_run_starts if settings.chunk_min_sentences <= 1 else fold_chunks)(F.col("sims"), F.col("threshold"), settings)
+    placed = rows.select("doc_id", "sentences", starts.alias("starts"))
+    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("sentences")))
+    spans = placed.select("doc_id", "sentences", F.posexplode_outer(F.arrays_zip(F.col("starts").alias("a"), ends.alias("b"))).alias("ord", "x"))
+    text = F.array_join(F.slice("sentences", F.col("x.a") + 1, F.col("x.b") - F.col("x.a")), " ")
+    chunk_id = F.concat_ws("::c", F.col("doc_id").cast("string"), F.col("ord").cast("string"))
+    return spans.select("doc_id", chunk_id.alias("chunk_id"), "ord", (F.col("x.b") - F.col("x.a")).cast("long").alias("n_sentences"), text.alias("text"))
 
 
 def atoms_of(chunks: DataFrame) -> DataFrame:

@@ -53,12 +53,12 @@ def hash_embed_norms(spark: SparkSession, d: str) -> Q:
 
 
 def adjacent_similarity(spark: SparkSession, d: str) -> Q:
-    return corpus.adjacent_similarity(sentence_split(spark, d))
+    return corpus.adjacent_similarity(_docs(spark, d))
 
 
 def trough_threshold(spark: SparkSession, d: str) -> Q:
     # values lie on quarters of the sixth place: the nudge keeps halves from rounding either way
-    return corpus.trough_thresholds(adjacent_similarity(spark, d)).withColumn("threshold", F.round(F.col("threshold") + 1e-9, 6))
+    return corpus.trough_thresholds(_docs(spark, d)).withColumn("threshold", F.round(F.col("threshold") + 1e-9, 6))
 
 
 def semantic_chunks(spark: SparkSession, d: str) -> Q:

@@ -8,6 +8,7 @@ _STOP = "[" + ", ".join(f"'{w}'" for w in S.ORACLE_STOP) + "]"
 _SCREEN = "[" + ", ".join(f"'{w}'" for w in S.SCREEN_STOP) + "]"
 
 
+_SPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
 _SCREEN_WORD = "[a-z0-9][a-z0-9''-]+"
 
 
@@ -21,7 +22,8 @@ def _toks(col: str, pattern: str = "[a-z0-9]+", stop: str = _STOP) -> str:
 
 def _label(c: str) -> str:
     names = ", ".join(f"'{k}'" for k in (*S.LIFT_OF, S.GUARANTEED))
-    return f"case when lower(trim({c})) in ({names}) then lower(trim({c})) else 'unchanged' end"
+    label = f"lower(regexp_replace({c}, '^{_SPACE}+|{_SPACE}+$', '', 'g'))"
+    return f"case when {label} in ({names}) then {label} else 'unchanged' end"
 
 
 def _verdict(x: str) -> str:

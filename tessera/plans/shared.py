@@ -63,14 +63,14 @@ def default_name(name: str, taken: list[str]) -> str:
     return name
 
 
-def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """``df`` in enough round-robin partitions for work that costs much CPU per byte read.
+#: Partitions a core that keep the last tasks of a stage short.
+_WAVES = 4
 
-    Used before Python stages over tables that a file source packs into a few splits; the count comes from the
-    session's parallelism, not from the data.
-    """
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n)
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in enough partitions for work that costs much CPU per byte read: as they are, or dealt out where a scan has few splits."""
+    n = _WAVES * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
 __all__ = ["F", "cut", "default_name", "shared_dir", "spread", "stored", "table"]
