@@ -30,6 +30,17 @@ def sparse_hashing(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     return counts.join(norms, keys).select(*keys, "bucket", (F.col("tf") / F.col("norm")).alias("weight"))
 
 
+def sparse_tfidf(rows: DataFrame, group: str, keys: list[str], text: str, stop: tuple[str, ...] = ()) -> DataFrame:
+    """(group, keys, term, weight): TF-IDF within groups of any size in sparse form, as ``tfidf_matrix`` has it for one group in memory."""
+    found = F.filter(F.regexp_extract_all(F.lower(col_of(text)), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(*stop)) if stop else F.regexp_extract_all(F.lower(col_of(text)), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    tf = rows.select(group, *keys, F.explode(found).alias("term")).groupBy(group, *keys, "term").agg(F.count("*").cast("double").alias("tf"))
+    df = tf.groupBy(group, "term").agg(F.count("*").alias("df"))
+    n = rows.groupBy(group).agg(F.count("*").alias("n_texts"))
+    weighed = tf.join(df, [group, "term"]).join(n, group).withColumn("x", F.col("tf") * (F.log((1 + F.col("n_texts")) / (1 + F.col("df"))) + 1))
+    norms = weighed.groupBy(group, *keys).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    return weighed.join(norms, [group, *keys]).select(group, *keys, "term", (F.col("x") / F.col("norm")).alias("weight"))
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(col_of(a), col_of(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -49,14 +60,15 @@ def hash_matrix(texts: list[str], dim: int = 256) -> np.ndarray:
     import hashlib
     import re
 
-    out = np.zeros((len(texts), dim))
     seen: dict[str, int] = {}
-    for i, t in enumerate(texts):
-        for w in re.findall(r"[a-z0-9]+", (t or "").lower()):
-            k = seen.get(w)
-            if k is None:
-                k = seen[w] = int(hashlib.md5(w.encode(), usedforsecurity=False).hexdigest(), 16) % dim
-            out[i, k] += 1
+    words = [re.findall(r"[a-z0-9]+", (t or "").lower()) for t in texts]
+    for own in words:
+        for w in own:
+            if w not in seen:
+                seen[w] = int(hashlib.md5(w.encode(), usedforsecurity=False).hexdigest(), 16) % dim
+    at = np.array([seen[w] for own in words for w in own], dtype=np.int64)
+    at += np.repeat(np.arange(len(texts)), [len(own) for own in words]) * dim
+    out = np.bincount(at, minlength=len(texts) * dim).reshape(len(texts), dim).astype(float)
     n = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(n == 0, 1, n)
 

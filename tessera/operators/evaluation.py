@@ -50,6 +50,25 @@ def cluster_recall(planted: DataFrame, found: DataFrame) -> DataFrame:
     return best.select("case_id", F.round("x.recall", 6).alias("recall"), F.round("x.purity", 6).alias("purity"))
 
 
+def member_recall(planted: DataFrame, found: DataFrame) -> DataFrame:
+    """(case_id, recall): the share of the members of all planted sets of a case that a baseline found; of ``planted(case_id, members)`` and ``found(case_id, dp_id)``."""
+    members = planted.select("case_id", F.explode("members").alias("dp_id")).dropDuplicates()
+    hit = members.join(found.select("case_id", "dp_id", F.lit(1).alias("hit")).dropDuplicates(), ["case_id", "dp_id"], "left")
+    return hit.groupBy("case_id").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"))
+
+
+def control_findings(cases: DataFrame, found: DataFrame) -> DataFrame:
+    """(case_id, n_found, clean) of the control cases: whatever is found in one is false. ``found(case_id)``, a row a set or admitted hypothesis."""
+    n = found.groupBy("case_id").agg(F.count("*").alias("n"))
+    rows = cases.where("control").select("case_id").dropDuplicates().join(n, "case_id", "left").select("case_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_found"))
+    return rows.withColumn("clean", F.col("n_found") == 0)
+
+
+def conjunction_found(found: DataFrame) -> DataFrame:
+    """(case_id, conjunction_only): whether any set found in a case refutes only as a whole."""
+    return found.groupBy("case_id").agg(F.coalesce(F.bool_or("conjunction_only"), F.lit(False)).alias("conjunction_only"))
+
+
 def report(cases: DataFrame, measures: list[str]) -> DataFrame:
     """Means of measures over main, adversarial and control cases apart; absent values are passed over."""
     group = F.when(F.col("control"), "control").when(F.col("adversarial").isNotNull(), "adversarial").otherwise("main")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scale, text
 from tessera.operators.ranking import first_k
 from tessera.plans.settings import DEFAULTS, Settings
-from tessera.plans.shared import cut
+from tessera.plans.shared import cut, stored
 
 STATE = ["hyp_id", "seed", "members", "lift"]
 
@@ -40,12 +40,18 @@ def seeds(ev: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return ranked.select("hyp_id", (F.col("rank") - 1).alias("seed"), "dp_id", "lift")
 
 
-def shortlists(frontier: DataFrame, ev: DataFrame, limit: int) -> DataFrame:
+def features_of(ev: DataFrame) -> DataFrame:
+    """(hyp_id, dp_id, f, w): the entities and words of each cell's data point, hashed, and what a shared one counts."""
+    rows = ev.select("hyp_id", "dp_id", F.explode(F.concat(F.transform("ents", lambda e: F.struct(F.concat(F.lit("e"), e).alias("f"), F.lit(10).alias("w"))), F.transform("toks", lambda t: F.struct(F.concat(F.lit("t"), t).alias("f"), F.lit(1).alias("w"))))).alias("x"))
+    return rows.select("hyp_id", "dp_id", F.xxhash64("x.f").alias("f"), "x.w")
+
+
+def shortlists(frontier: DataFrame, ev: DataFrame, limit: int, features: DataFrame | None = None) -> DataFrame:
     """(hyp_id, seed, cand, rank): data points by ten times shared entities plus shared words with the set, above zero.
 
     An inverted index: the set's entities and words are joined with those of the pool of the same hypothesis.
     """
-    features = ev.select("hyp_id", "dp_id", F.explode(F.concat(F.transform("ents", lambda e: F.struct(F.concat(F.lit("e"), e).alias("f"), F.lit(10).alias("w"))), F.transform("toks", lambda t: F.struct(F.concat(F.lit("t"), t).alias("f"), F.lit(1).alias("w"))))).alias("x")).select("hyp_id", "dp_id", "x.f", "x.w")
+    features = features_of(ev) if features is None else features
     inside = frontier.select("hyp_id", "seed", F.explode("members").alias("dp_id"))
     wanted = inside.join(features, ["hyp_id", "dp_id"]).select("hyp_id", "seed", "f").dropDuplicates()
     hits = wanted.join(features, ["hyp_id", "f"]).groupBy("hyp_id", "seed", "dp_id").agg(F.sum("w").alias("score"))
@@ -75,20 +81,22 @@ def _trials(rows: DataFrame) -> DataFrame:
 def grown(ev: DataFrame, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """Frontier rows that came below the threshold (hyp_id, seed, members, lift), and the joint lifts judged (hyp_id, seed, calls)."""
     frontier = cut(seeds(ev, settings).select("hyp_id", "seed", F.array("dp_id").alias("members"), "lift"))
+    features = stored(features_of(ev))
     done: DataFrame | None = None
     calls: DataFrame | None = None
     for _ in range(settings.set_size - 1):
-        listed = shortlists(frontier, ev, settings.shortlist).join(frontier, ["hyp_id", "seed"])
+        listed = shortlists(frontier, ev, settings.shortlist, features).join(frontier, ["hyp_id", "seed"])
         trials = listed.select("hyp_id", "seed", "rank", "lift", F.concat("members", F.array("cand")).alias("members"))
-        judged = cut(joint_lifts(_trials(trials), ev).select("hyp_id", "seed", "rank", "lift", "members", "joint_lift"))
-        spent = judged.groupBy("hyp_id", "seed").agg(F.count("*").alias("calls"))
+        judged = joint_lifts(_trials(trials), ev)
+        better = F.when(F.col("joint_lift") < F.col("lift"), F.struct("joint_lift", "rank", "members"))
+        best = cut(judged.groupBy("hyp_id", "seed").agg(F.count("*").alias("calls"), F.min(better).alias("x")))
+        spent = best.select("hyp_id", "seed", "calls")
         calls = spent if calls is None else calls.unionByName(spent)
-        better = judged.where("joint_lift < lift")
-        best = better.groupBy("hyp_id", "seed").agg(F.min_by("members", F.struct("joint_lift", "rank")).alias("members"), F.min("joint_lift").alias("lift"))
+        grew = best.where("x is not null").select("hyp_id", "seed", "x.members", F.col("x.joint_lift").alias("lift"))
         refuting = F.col("lift") < settings.refute_lift
-        ended = best.where(refuting).select(STATE)
+        ended = grew.where(refuting).select(STATE)
         done = ended if done is None else done.unionByName(ended)
-        frontier = cut(best.where(~refuting).select(STATE))
+        frontier = grew.where(~refuting).select(STATE)
         if frontier.isEmpty():
             break
     assert done is not None and calls is not None

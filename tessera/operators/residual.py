@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,10 @@ from tessera.plans.settings import DEFAULTS, Settings
 from tessera.plans.shared import stored
 
 
+#: Hypotheses that a task holds at a time as dense rows of 256 numbers: 8 MB.
+SIDE_ROWS = 4_096
+
+
 def residual_scores(cells: DataFrame) -> DataFrame:
     """Per data point and model, the greatest absolute log lift of any hypothesis; 0 without cells."""
     return cells.groupBy("dp_id", "model").agg(F.coalesce(F.max(F.abs("log_lift")), F.lit(0.0)).alias("residual"), F.count("*").alias("n_hyps"))
@@ -99,19 +104,33 @@ def verified(members: DataFrame, keys: list[str], settings: Settings = DEFAULTS)
 def retrieval_baseline(hyps: DataFrame, points: DataFrame, dim: int = 256) -> DataFrame:
     """(dp_id, sim, rank): data points by their greatest cosine with any hypothesis, the first third (three at least).
 
-    Hypotheses are few and go to every task as one matrix, a bounded broadcast; data points stream past it in blocks.
+    The distinct hypotheses go to the tasks as matrices of ``SIDE_ROWS`` rows at most; data points stream past each.
     """
-    texts = [r.text for r in hyps.where("text is not null").select("text").toLocalIterator()]
     spark = points.sparkSession
-    sides = spark.sparkContext.broadcast(hash_matrix(texts, dim))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sim = (hash_matrix(list(b["text"]), dim) @ sides.value.T).max(axis=1) if len(sides.value) else np.zeros(len(b))
-            yield pd.DataFrame({"dp_id": b["dp_id"], "sim": np.round(sim, 6)})
-
-    scored = points.select("dp_id", "text").mapInPandas(best, "dp_id string, sim double")
-    n = points.count()
+    texts = hyps.where("text is not null").select("text").dropDuplicates()
+    blocks: list[Broadcast] = []
+    held: list[str] = []
+    for r in texts.toLocalIterator():
+        held.append(r.text)
+        if len(held) == SIDE_ROWS:
+            blocks.append(spark.sparkContext.broadcast(hash_matrix(held, dim)))
+            held = []
+    blocks.append(spark.sparkContext.broadcast(hash_matrix(held, dim)))
+
+    def best_of(side: Broadcast) -> DataFrame:
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                sim = (hash_matrix(list(b["text"]), dim) @ side.value.T).max(axis=1) if len(side.value) else np.zeros(len(b))
+                yield pd.DataFrame({"dp_id": b["dp_id"], "sim": np.round(sim, 6)})
+
+        return points.select("dp_id", "text").mapInPandas(best, "dp_id string, sim double")
+
+    each = [best_of(side) for side in blocks]
+    whole = each[0]
+    for e in each[1:]:
+        whole = whole.unionByName(e)
+    scored = stored(whole.groupBy("dp_id").agg(F.max("sim").alias("sim")) if len(each) > 1 else whole)
+    n = scored.count()
     k = min(n, max(3, n // 3))
     # k grows with the data, so rows are ranked by ranges and never gathered
     return ranked(scored, [], [F.desc("sim"), F.asc("dp_id")]).where(F.col("rank") <= k).drop("rank")

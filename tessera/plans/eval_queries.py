@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scale, text
 from tessera.operators import density, evaluation
+from tessera.plans import lift_queries, lift_sql
 from tessera.plans import settings as S
 from tessera.plans.shared import shared_dir, table
 from tessera.sources import scenario
@@ -58,6 +59,29 @@ def cluster_recall(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.cluster_recall(_rows(spark, planted, "case_id string, members array<string>"), _rows(spark, found, "case_id string, pos int, members array<string>"))
 
 
+def member_recall(spark: SparkSession, d: str) -> DataFrame:
+    """What the pairwise baseline finds of the members of planted sets."""
+    found = [(c, m) for c, ms in _FOUND for m in ms]
+    return evaluation.member_recall(_rows(spark, _PLANTED, "case_id string, members array<string>"), _rows(spark, found, "case_id string, dp_id string"))
+
+
+def control_findings(spark: SparkSession, d: str) -> DataFrame:
+    cases = [(c, k % 2 == 0) for k, c in enumerate(["c1", "c2", "c3", "c4", "c5"])]
+    return evaluation.control_findings(_rows(spark, cases, "case_id string, control boolean"), _rows(spark, [(c,) for c, _ in _FOUND], "case_id string"))
+
+
+def noise_diagnosticity(spark: SparkSession, d: str) -> DataFrame:
+    """The third measure over the corpus: by the scenario of the hypotheses, whether off-topic data points are no more diagnostic than the others."""
+    hyps = table(spark, d, "hypotheses").select("hyp_id", F.get_json_object("meta", "$.scenario").alias("scenario"))
+    cells = lift_queries._cells(spark, d).join(hyps, "hyp_id").where("scenario is not null")
+    per_point = cells.groupBy("scenario", "dp_id").agg(F.coalesce(F.var_pop("log_lift"), F.lit(0.0)).alias("diagnosticity"))
+    noise = lift_queries._points(spark, d).select("dp_id", F.get_json_object("meta", "$.noise").alias("noise"))
+    rows = per_point.join(noise, "dp_id", "left")
+    off = F.col("noise").eqNullSafe("irrelevant")
+    means = rows.groupBy("scenario").agg(F.count("*").alias("n"), F.round(F.avg(F.when(off, F.col("diagnosticity"))), 6).alias("off_topic"), F.round(F.avg(F.when(~off, F.col("diagnosticity"))), 6).alias("others"))
+    return means.withColumn("held", F.col("off_topic") <= F.col("others"))
+
+
 def scenario_metrics(spark: SparkSession, d: str) -> DataFrame:
     claims = _rows(spark, _CLAIMS, "scenario string, pos int, score double, surviving boolean, eliminated boolean")
     return evaluation.scenario_metrics(claims, _rows(spark, _POINTS, "scenario string, diagnosticity double, noise string"))
@@ -102,7 +126,7 @@ def noise_injection(spark: SparkSession, d: str) -> DataFrame:
     return scenario.with_noise(own, _OFF_TOPIC, n=4, duplicates=1)
 
 
-QUERIES = {f.__name__: f for f in (guaranteed_scale, safe_numbers, oracle_replies, set_recall, cluster_recall, scenario_metrics, capability_report, threshold_sweep, density_clusters, streamed_scores, noise_injection)}
+QUERIES = {f.__name__: f for f in (guaranteed_scale, safe_numbers, oracle_replies, set_recall, cluster_recall, member_recall, control_findings, noise_diagnosticity, scenario_metrics, capability_report, threshold_sweep, density_clusters, streamed_scores, noise_injection)}
 
 
 def _values(rows: list[tuple]) -> str:
@@ -118,7 +142,26 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
 
 
+_LABELS = [*S.LIFT_OF, S.GUARANTEED, " MORE ", "no label", None]
+_RECALLED = [("c1", ["d1", "d2", "d3"]), ("c2", ["d2", "d4", "d5"]), ("c3", ["d9"])]
+
 SQL = {
+    "guaranteed_scale": f"""with r(raw) as (values {_values([(c,) for c in _LABELS])}), p(prior) as (values (1e-4::double), (0.1::double), (0.5::double), (0.999::double)),
+        l as (select raw, prior, {lift_sql._label('raw')} "label" from r cross join p), x as (select *, {lift_sql._lift('"label"', 'prior')} lift from l)
+        select raw, prior, "label", round(lift, 6) lift, round(ln(lift), 6) log_lift, {lift_sql._verdict('ln(lift)')} verdict from x""",
+    "oracle_replies": f"""with r(i, raw) as (values {_values(list(enumerate(_REPLIES)))}), x as (select i, regexp_extract(raw, '(?s)\\{{.*\\}}') j from r), y as (select i, case when j <> '' and json_valid(j) then j end j from x)
+        select i::int i, json_extract_string(j, '$.change') change, j is not null parsed from y""",
+    "cluster_recall": f"""with p(case_id, m) as (values {_values(_RECALLED)}), f(case_id, pos, m) as (values {_values([(c, i, m) for i, (c, m) in enumerate(_FOUND)])}),
+        s as (select p.case_id, pos, coalesce(len(list_intersect(p.m, f.m)), 0) / len(p.m) recall, coalesce(len(list_intersect(p.m, f.m)) / len(f.m), 0.0) purity from p left join f using (case_id))
+        select case_id, round(arg_min(recall, (-recall, pos)), 6) recall, round(arg_min(purity, (-recall, pos)), 6) purity from s group by 1""",
+    "member_recall": f"""with p as (select distinct case_id, unnest(m) dp_id from (values {_values(_PLANTED)}) t(case_id, m)), f as (select distinct case_id, unnest(m) dp_id, 1 hit from (values {_values(_FOUND)}) t(case_id, m))
+        select case_id, round(avg(coalesce(hit, 0)), 6) recall from p left join f using (case_id, dp_id) group by 1""",
+    "control_findings": f"""with f as (select case_id, count(*) n from (values {_values([(c,) for c, _ in _FOUND])}) t(case_id) group by 1)
+        select case_id, coalesce(n, 0) n_found, coalesce(n, 0) = 0 clean from (values ('c1'), ('c3'), ('c5')) c(case_id) left join f using (case_id)""",
+    "noise_diagnosticity": f"""with {lift_sql.POINTS}, {lift_sql.CELLS}, q as (select json_extract_string(h.meta, '$.scenario') scenario, dp_id, coalesce(var_pop(log_lift), 0) x from cells join hypotheses h using (hyp_id) group by all),
+        m as (select scenario, count(*) n, round(avg(x) filter (json_extract_string(p.meta, '$.noise') is not distinct from 'irrelevant'), 6) off_topic, round(avg(x) filter (json_extract_string(p.meta, '$.noise') is distinct from 'irrelevant'), 6) others
+            from q left join points p using (dp_id) where scenario is not null group by 1)
+        select *, off_topic <= others held from m""",
     "streamed_scores": """select hyp_id, model, count(*) n, round(sum(log_lift), 6) + 0.0 sum_log_lift from
         (select hyp_id, dp_id, model, min(log_lift) log_lift from lift_cache where hyp_id is not null and dp_id is not null and model is not null group by all) group by all""",
     "safe_numbers": f"with r(i, raw) as (values {_values(list(enumerate(_NUMBERS)))}), x as (select i, try_cast(trim(raw) as double) v from r) select i::int i, case when v is null or isnan(v) or isinf(v) then 0.5 else v end \"value\" from x",

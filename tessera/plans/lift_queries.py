@@ -8,14 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scale, text
-from tessera.functions.vectors import sparse_hashing
+from tessera.functions.vectors import sparse_hashing, sparse_tfidf
 from tessera.operators import corpus, dense, matrix, refute, residual, scoring
+from tessera.operators.ranking import ranked
 from tessera.plans import settings as S
-from tessera.plans.shared import cut, table
+from tessera.plans.shared import cut, stored, table
 
 Q = DataFrame
 
 
+#: Columns that the wide view has at most.
+MOST_MODELS = 1_000
+
+
 def _cells(spark: SparkSession, d: str) -> Q:
     return scoring.cached_cells(table(spark, d, "lift_cache"))
 
@@ -169,8 +174,11 @@ def hypothesis_detail(spark: SparkSession, d: str) -> Q:
 
 def matrix_wide(spark: SparkSession, d: str) -> Q:
     """Cells with one column of log lifts per verdict-giving model."""
-    models = ["lexical-mock", "oracle-a", "oracle-b-mini", "oracle-c"]
-    return matrix.wide(_cells(spark, d), ["hyp_id", "dp_id"], "model", models).withColumnsRenamed({m: m.replace("-", "_") for m in models})
+    cells = _cells(spark, d)
+    models = sorted(r.model for r in cells.select("model").dropDuplicates().limit(MOST_MODELS + 1).collect())
+    if len(models) > MOST_MODELS:
+        raise ValueError(f"more than {MOST_MODELS} models: read the cells in long form")
+    return matrix.wide(cells, ["hyp_id", "dp_id"], "model", models).withColumnsRenamed({m: m.replace("-", "_") for m in models})
 
 
 def matrix_documents(spark: SparkSession, d: str) -> Q:
@@ -192,6 +200,74 @@ def cache_merge(spark: SparkSession, d: str) -> Q:
     return corpus.upsert(cells, new, ["hyp_id", "dp_id", "model"])
 
 
+def ranked_hypotheses(spark: SparkSession, d: str) -> Q:
+    """Hypotheses in order of score, per model."""
+    return matrix.by_score(hypothesis_scores(spark, d)).select("hyp_id", "model", "score", "rank")
+
+
+def diagnostic_order(spark: SparkSession, d: str) -> Q:
+    """Data points in order of diagnosticity, per model."""
+    rows = matrix.diagnosticity(_cells(spark, d)).select("dp_id", "model", F.round("diagnosticity", 6).alias("diagnosticity"))
+    return ranked(rows, ["model"], [F.desc("diagnosticity"), F.asc("dp_id")])
+
+
+def matrix_points(spark: SparkSession, d: str) -> Q:
+    """What the matrix tells of each data point."""
+    return matrix.point_rows(_cells(spark, d), table(spark, d, "data_points")).drop("text")
+
+
+def report_ends(spark: SparkSession, d: str) -> Q:
+    """The best evidence of the first hypothesis and the worst of the last, per model."""
+    return matrix.report_ends(hypothesis_scores(spark, d), _cells(spark, d), table(spark, d, "data_points"))
+
+
+def hypothesis_view(spark: SparkSession, d: str) -> Q:
+    """The evidence of one hypothesis: the one with the most cells (ties: the smaller id)."""
+    cells = _cells(spark, d)
+    most = cells.groupBy("hyp_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "hyp_id").first()
+    if most is None:
+        return hypothesis_detail(spark, d)
+    return matrix.detail(matrix.of_hypothesis(cells, most.hyp_id), table(spark, d, "data_points"))
+
+
+def document_points(spark: SparkSession, d: str) -> Q:
+    """Every document's data points by their latest record: how many, and their texts as one digest."""
+    rows = _points(spark, d).where("doc_id is not null and text is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("dp_id", "text"))).alias("x"))
+    return rows.select("doc_id", F.size("x").cast("long").alias("n_data_points"), F.md5(F.encode(F.array_join(F.transform("x", lambda p: p["text"]), "|"), "UTF-8")).alias("texts_md5"))
+
+
+def scenario_hypotheses(spark: SparkSession, d: str) -> Q:
+    """Hypotheses by the scenario in their meta."""
+    return table(spark, d, "hypotheses").groupBy(F.get_json_object("meta", "$.scenario").alias("scenario")).agg(F.count("*").alias("n"), F.min("hyp_id").alias("first_hyp"))
+
+
+def _asked(spark: SparkSession, d: str) -> tuple[Q, Q]:
+    """All hypotheses, and all data points with their weights, for the lexical grid."""
+    points = _points(spark, d).where("text is not null").select("dp_id", "text", scale.credibility("meta").alias("cred"))
+    return table(spark, d, "hypotheses").where("text is not null").select("hyp_id", "text"), points
+
+
+def grid_scores(spark: SparkSession, d: str) -> Q:
+    """Every hypothesis scored by the lexical oracle against every data point."""
+    return scoring.lexical_scores(*_asked(spark, d)).withColumn("score", F.round("score", 6) + 0.0)
+
+
+def grid_diagnosticity(spark: SparkSession, d: str) -> Q:
+    """The diagnosticity of every data point over the lexical grid."""
+    return scoring.lexical_diagnosticity(*_asked(spark, d)).withColumn("diagnosticity", F.round("diagnosticity", 6))
+
+
+def grid_detail(spark: SparkSession, d: str) -> Q:
+    """The lexical evidence that bears on each hypothesis, from the most contradicting, with its source."""
+    return matrix.detail(scoring.lexical_lifts(*_asked(spark, d)), table(spark, d, "data_points")).select("hyp_id", "dp_id", "log_lift", "verdict", "source", "rank")
+
+
+def tfidf_norms(spark: SparkSession, d: str) -> Q:
+    """TF-IDF of the words of data points, by document: distinct words and the greatest weight."""
+    v = sparse_tfidf(_points(spark, d).where("doc_id is not null and text is not null"), "doc_id", ["dp_id"], "text")
+    return v.groupBy("doc_id", "dp_id").agg(F.count("*").alias("n_terms"), F.round(F.max("weight"), 6).alias("largest"))
+
+
 # ---------------------------------------------------------------------------------------------- refutation, residuals
 def pairwise_refutations(spark: SparkSession, d: str) -> Q:
     return refute.pairwise_refutations(_cells(spark, d))
@@ -243,7 +319,7 @@ def retrieval_topk(spark: SparkSession, d: str) -> Q:
 def _members(spark: SparkSession, d: str) -> Q:
     """Residual data points with their text, whatever document they come from."""
     ids = residual.residuals(_cells(spark, d)).select("dp_id").dropDuplicates()
-    return _points(spark, d).where("text is not null").join(ids, "dp_id", "left_semi").select("doc_id", "dp_id", "text")
+    return stored(_points(spark, d).where("text is not null").join(ids, "dp_id", "left_semi").select("doc_id", "dp_id", "text"))
 
 
 def _whole(rows: Q) -> Q:
@@ -295,6 +371,7 @@ QUERIES = {
     **{f.__name__: f for f in (
         sentence_split, sentence_stats, content_ids, hash_embed_norms, adjacent_similarity, trough_threshold, semantic_chunks, chunk_atoms, dedup_atoms_last_writer,
         latest_data_points, live_documents, live_data_points, entity_sets, priors, lexical_pairs, lexical_cells, parsed_replies, change_labels, lift_scale, verdict_histogram, hypothesis_scores,
+        ranked_hypotheses, diagnostic_order, matrix_points, report_ends, hypothesis_view, document_points, scenario_hypotheses, grid_scores, grid_diagnosticity, grid_detail, tfidf_norms,
         best_worst_cells, diagnosticity, diagnosticity_top, diagnosticity_bottom, hypothesis_detail, matrix_wide, matrix_documents, cache_misses, cache_merge, pairwise_refutations,
         refutation_seeds, structural_candidates, joint_lift_pairs, refuting_sets, residual_points, residual_counts, retrieval_topk, residual_clusters, abduced_terms, missing_hypotheses,
         verify_abduction, supporting_terms, embedding_coherence, embedding_separability,

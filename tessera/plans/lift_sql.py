@@ -72,6 +72,33 @@ _SEEDS = """pool as (select hyp_id, dp_id, min(lift) lift from cells group by al
   ranked as (select *, lift >= 0.25 mild, bool_or(lift >= 0.25) over (partition by hyp_id) any_mild,
     row_number() over (partition by hyp_id order by case when lift >= 0.25 then 0 else 1 end, lift, dp_id) rank from pool)"""
 
+_LEXICAL = f"""h as (select hyp_id, len(t) nh, unnest(t) tok from (select hyp_id, {_toks('text')} t from hypotheses)),
+        d as (select dp_id, neg, len(t) nd, unnest(t) tok from (select dp_id, {_cues('text', S.NEGATIVE_CUES)} neg, {_toks('text')} t from points where text is not null)),
+        s as (select hyp_id, dp_id, neg, count(*) / (nh + nd - count(*)) o from d join h using (tok) group by hyp_id, dp_id, neg, nh, nd),
+        c as (select hyp_id, dp_id, round(o, 6) overlap, neg, case when o < 0.06 then 'unchanged' when neg and o > 0.12 then 'much_less' when neg then 'less' when o > 0.28 then 'much_more' when o > 0.12 then 'more' else 'unchanged' end change from s)"""
+_GRID = f"""{POINTS}, {CRED}, {_LEXICAL}, g as (select hyp_id, dp_id, ln({_lift('change', '0.5')}) x from c where change <> 'unchanged'),
+  told as (select dp_id from points where text is not null), asked as (select hyp_id from hypotheses where text is not null)"""
+
+
+def _entities(col: str, meta: str) -> str:
+    """RE2's word boundary is ASCII: other letters become underscores, other marks blanks."""
+    plain = rf"regexp_replace(regexp_replace({col}, '[^\p{{L}}\p{{Nd}}\p{{M}}\x00-\x7F]', ' ', 'g'), '[^\x00-\x7F]', '_', 'g')"
+    found = rf"list_concat(regexp_extract_all({plain}, '\b[A-Z][a-zA-Z-]{{2,}}\b'), regexp_extract_all({plain}, '{_FIGURE}'))"
+    values = "[" + ", ".join(f"json_extract_string({meta}, '$.{k}')" for k in S.DEFAULTS.entity_keys) + "]"
+    return f"list_distinct(list_transform(list_concat({found}, list_filter({values}, lambda v: v is not null and v <> '')), lambda x: lower(x)))"
+
+
+_FIGURE = r"\b\d{4}-\d{2}-\d{2}\b|\b\d+(?:[.,]\d+)?%?\b"
+_EVIDENCE = f"""ev as (select c.hyp_id, c.dp_id, c.lift, {_cues("p.text", S.NEGATIVE_CUES)}::int neg, (len(list_intersect({_toks("h.text")}, {_toks("p.text")})) > 0)::int pos,
+    case when {_cues("p.text", S.RARE_CUES)} then 0.08 when len({_toks("p.text")}) > 25 then 0.3 else 0.5 end prior, {_entities("p.text", "p.meta")} ents, {_toks("p.text", _SCREEN_WORD, _SCREEN)} toks
+    from (select hyp_id, dp_id, min(lift) lift from cells group by all) c join hypotheses h using (hyp_id) join points p using (dp_id) where p.text is not null),
+  ranked as (select *, lift >= 0.25 mild, bool_or(lift >= 0.25) over (partition by hyp_id) any_mild,
+    row_number() over (partition by hyp_id order by case when lift >= 0.25 then 0 else 1 end, lift, dp_id) rank from ev),
+  seeds as (select *, rank - 1 seed from ranked where rank <= 3 and (mild or not any_mild)),
+  near as (select s.hyp_id, s.seed, e.dp_id cand, 10 * len(list_intersect(s.ents, e.ents)) + len(list_intersect(s.toks, e.toks)) score,
+    s.neg + e.neg neg, s.pos + e.pos pos, least(s.prior, e.prior) prior from seeds s join ev e on e.hyp_id = s.hyp_id and e.dp_id <> s.dp_id),
+  listed as (select *, row_number() over (partition by hyp_id, seed order by score desc, cand) place from near where score > 0)"""
+
 SQL = {
     "sentence_split": f"with {SENTENCES} select doc_id, pos, sentence from sentences",
     "sentence_stats": f"with {SENTENCES} select doc_id, count(*) n_sentences, sum(length(sentence))::bigint n_chars from sentences group by 1",
@@ -92,11 +119,7 @@ SQL = {
     "priors": f"with {POINTS} select dp_id, case when {_cues('text', S.RARE_CUES)} then 0.08 when len({_toks('text')}) > 25 then 0.3 else 0.5 end prior from points where text is not null",
     "lexical_pairs": f"""with {POINTS}, {_PAIRS}, done as (select *, {_lift('change', 'prior')} lift from labelled)
         select hyp_id, dp_id, change, prior, round(least(1.0, o * 2.2), 3) relatedness, round(lift, 6) lift, round(ln(lift), 6) log_lift, {_verdict('ln(lift)')} verdict from done""",
-    "lexical_cells": f"""with {POINTS}, h as (select hyp_id, len(t) nh, unnest(t) tok from (select hyp_id, {_toks('text')} t from hypotheses)),
-        d as (select dp_id, neg, len(t) nd, unnest(t) tok from (select dp_id, {_cues('text', S.NEGATIVE_CUES)} neg, {_toks('text')} t from points where text is not null)),
-        s as (select hyp_id, dp_id, neg, count(*) / (nh + nd - count(*)) o from d join h using (tok) group by hyp_id, dp_id, neg, nh, nd),
-        c as (select hyp_id, dp_id, round(o, 6) overlap, neg, case when o < 0.06 then 'unchanged' when neg and o > 0.12 then 'much_less' when neg then 'less' when o > 0.28 then 'much_more' when o > 0.12 then 'more' else 'unchanged' end change from s)
-        select * from c where change <> 'unchanged'""",
+    "lexical_cells": f"with {POINTS}, {_LEXICAL} select * from c where change <> 'unchanged'",
     "change_labels": f"select {_label('change')} \"label\", count(*) n from lift_cache group by 1",
     "lift_scale": f"""with {POINTS}, {CELLS}, x as (select c.change, round({_lift('c.change', 'coalesce(p.prior, 0.5)')}, 6) v from cells c left join {_ASOF} p on p.dp_id = c.dp_id)
         select change, count(*) n, min(v) least, max(v) greatest from x group by 1""",
@@ -146,4 +169,39 @@ SQL = {
         x as (select dp_id, hyp_id, sum(p.w * h.w) s from p join h using (b) group by all), m as (select dp_id, max(s) s from x group by 1),
         o as (select points.dp_id, round(coalesce(s, 0.0), 6) sim from points left join m using (dp_id) where text is not null)
         select dp_id, sim from o order by sim desc, dp_id limit (select greatest(3, count(*) // 3) from o)""",
+    "ranked_hypotheses": f"""with {POINTS}, {CRED}, {CELLS}, g as (select hyp_id, model, round(sum(log_lift * coalesce(cred, 1.0)), 6) + 0.0 score from cells c left join cred using (dp_id) group by all)
+        select hyp_id, model, score, row_number() over (partition by model order by score desc, hyp_id) rank from g""",
+    "diagnostic_order": f"""with {CELLS}, g as (select dp_id, model, round(coalesce(var_pop(log_lift), 0), 6) diagnosticity from cells group by all)
+        select dp_id, model, diagnosticity, row_number() over (partition by model order by diagnosticity desc, dp_id) rank from g""",
+    "matrix_points": f"""with {POINTS}, {CELLS}, g as (select dp_id, model, round(coalesce(var_pop(log_lift), 0), 3) diagnosticity from cells group by all)
+        select dp_id, model, coalesce(nullif(json_extract_string(meta, '$.source'), ''), cast(doc_id as varchar)) source, json_extract_string(meta, '$.credibility') credibility, json_extract_string(meta, '$.noise') noise, diagnosticity
+        from g join points using (dp_id)""",
+    "report_ends": f"""with {POINTS}, {CRED}, {CELLS}, g as (select hyp_id, model, round(sum(log_lift * coalesce(cred, 1.0)), 6) + 0.0 score from cells c left join cred using (dp_id) group by all),
+        r as (select *, row_number() over (partition by model order by score desc, hyp_id) rank, count(*) over (partition by model) n from g),
+        e as (select model, 'top' place, hyp_id, 1 as side from r where rank = 1 union all select model, 'bottom', hyp_id, -1 from r where rank = n),
+        x as (select e.model, place, e.hyp_id, arg_min(dp_id, (-side * log_lift, dp_id)) dp_id from e join cells c on c.hyp_id = e.hyp_id and c.model = e.model group by all)
+        select model, place, hyp_id, dp_id, text from x left join points using (dp_id)""",
+    "hypothesis_view": f"""with {POINTS}, {CELLS}, one as (select hyp_id from cells group by 1 order by count(*) desc, hyp_id limit 1)
+        select hyp_id, model, c.dp_id, round(log_lift, 6) log_lift, verdict, coalesce(nullif(json_extract_string(p.meta, '$.source'), ''), cast(p.doc_id as varchar)) source,
+        row_number() over (partition by hyp_id, model order by log_lift, c.dp_id) rank from cells c left join points p on p.dp_id = c.dp_id where hyp_id in (select hyp_id from one)""",
+    "document_points": f"with {POINTS} select doc_id, count(*) n_data_points, md5(string_agg(text, '|' order by dp_id)) texts_md5 from points where doc_id is not null and text is not null group by 1",
+    "scenario_hypotheses": "select json_extract_string(meta, '$.scenario') scenario, count(*) n, min(hyp_id) first_hyp from hypotheses group by 1",
+    "grid_scores": f"""with {_GRID}, sums as (select hyp_id, sum(x * coalesce(cred, 1.0)) score, count(*) filter (x >= 0.3) sup, count(*) filter (x < -0.3) con from g left join cred using (dp_id) group by 1),
+        r as (select hyp_id, coalesce(score, 0.0) score, (select count(*) from told) n, coalesce(sup, 0) n_supporting, coalesce(con, 0) n_contradicting from asked left join sums using (hyp_id))
+        select hyp_id, round(score, 6) + 0.0 score, n, n_supporting, n_contradicting, n - n_supporting - n_contradicting n_neutral, {_verdict('round(score / greatest(n, 1), 9)')} verdict from r""",
+    "grid_diagnosticity": f"""with {_GRID}, sums as (select dp_id, sum(x) s, sum(x * x) q from g group by 1), n as (select greatest(count(*), 1) n from asked)
+        select dp_id, round(greatest(0.0, coalesce(q, 0) / n - (coalesce(s, 0) / n) * (coalesce(s, 0) / n)), 6) diagnosticity from told left join sums using (dp_id) cross join n""",
+    "grid_detail": f"""with {_GRID} select hyp_id, g.dp_id, round(x, 6) log_lift, {_verdict('x')} verdict, coalesce(nullif(json_extract_string(p.meta, '$.source'), ''), cast(p.doc_id as varchar)) source,
+        row_number() over (partition by hyp_id order by x, g.dp_id) rank from g left join points p on p.dp_id = g.dp_id""",
+    "tfidf_norms": rf"""with {POINTS}, r as (select doc_id, dp_id, text from points where doc_id is not null and text is not null),
+        t as (select doc_id, dp_id, term, count(*)::double tf from (select doc_id, dp_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}\p{{Nl}}]{{2,}}')) term from r) group by all),
+        d as (select doc_id, term, count(*) df from t group by all), n as (select doc_id, count(*) n from r group by 1),
+        x as (select doc_id, dp_id, tf * (ln((1 + n) / (1 + df)) + 1) x from t join d using (doc_id, term) join n using (doc_id))
+        select doc_id, dp_id, count(*) n_terms, round(max(x) / sqrt(sum(x * x)), 6) largest from x group by all""",
+    "entity_sets": f"with {POINTS} select dp_id, array_to_string(list_sort({_entities('text', 'meta')}), ' ') entities from points where text is not null",
+    "figures": rf"""with {POINTS} select dp_id, array_to_string(list_sort(list_distinct(regexp_extract_all(regexp_replace(regexp_replace(text, '[^\p{{L}}\p{{Nd}}\p{{M}}\x00-\x7F]', ' ', 'g'), '[^\x00-\x7F]', '_', 'g'), '{_FIGURE}'))), ' ') figures
+        from points where text is not null""",
+    "structural_candidates": f"with {POINTS}, {CELLS}, {_EVIDENCE} select hyp_id, seed, cand, place rank, score from listed where place <= 25",
+    "joint_lift_pairs": f"""with {POINTS}, {CELLS}, {_EVIDENCE}, j as (select hyp_id, seed, cand, prior, case when neg > 0 and pos > 0 then 'much_less' when neg > 0 then 'less' when pos >= 2 then 'more' else 'unchanged' end change from listed where place <= 25)
+        select hyp_id, seed, cand, round({_lift('change', 'prior')}, 6) joint_lift from j""",
 }

@@ -55,14 +55,6 @@ def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def default_name(name: str, taken: list[str]) -> str:
-    """``name``, or ``name`` with underscores before it, such that no column of ``taken`` has it."""
-    lower = {t.lower() for t in taken}
-    while name.lower() in lower:
-        name = f"_{name}"
-    return name
-
-
 #: Partitions a core that keep the last tasks of a stage short.
 _WAVES = 4
 
@@ -73,4 +65,4 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
-__all__ = ["F", "cut", "default_name", "shared_dir", "spread", "stored", "table"]
+__all__ = ["F", "cut", "shared_dir", "spread", "stored", "table"]

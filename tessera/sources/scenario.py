@@ -7,6 +7,7 @@ import random
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 EPISODES = "scenario string, pos int, text string, credibility double, source_type string, meta string"
 CLAIMS = "scenario string, pos int, text string, context_summary string, surviving boolean, eliminated boolean, expected_verdict string"
@@ -65,6 +66,23 @@ def read_cases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame(cases, CASES), spark.createDataFrame(points, CASE_POINTS)
 
 
+#: Short names of capabilities.
+ALIASES = {"conjunction": "conjunction_refutation", "missing": "missing_hypothesis"}
+
+
+def cases_of(cases: DataFrame, capability: str = "both", only: str | None = None) -> DataFrame:
+    """The cases of a capability (by its name or a short one; ``both`` is all) and, where asked for, of one id."""
+    if capability and capability != "both":
+        cases = cases.where(F.col("capability") == ALIASES.get(capability, capability))
+    return cases.where(F.col("case_id") == only) if only else cases
+
+
+def case_ids(found: DataFrame, points: DataFrame, column: str = "dp_id") -> DataFrame:
+    """``found`` with ``case_dp``: the id that a case file gives a data point, by the ``source`` in the record's meta; null where it has none."""
+    named = points.select(F.col("dp_id").alias(column), F.get_json_object("meta", "$.source").alias("case_dp")).dropDuplicates([column])
+    return found.join(named, column, "left")
+
+
 def with_noise(episodes: DataFrame, sentences: list[str], n: int = 4, duplicates: int = 1, seed: int = 0) -> DataFrame:
     """``episodes`` of one scenario and ``n`` off-topic sentences drawn with replacement, and near copies of some episodes."""
     own = episodes.orderBy("pos").collect()  # a scenario is a handful of rows

@@ -11,20 +11,16 @@ from tessera.operators.scoring import CELL_KEY, Oracle, finished
 from tessera.sources.store import Store
 
 
-def running_scores(cells: DataFrame) -> DataFrame:
+def running_scores(cells: DataFrame, late: str | None = None) -> DataFrame:
     """Per hypothesis and model the count and sum of log lifts of a stream of cells; repeated cells count once.
 
-    The state is one row a key of the stream; a watermark on ``scored_at`` bounds it where the source carries one.
+    With ``late`` a watermark on ``scored_at`` bounds what is kept to tell repetitions by: a cell that comes again later than that counts
+    again, and cells without a time are not told apart. Without it every key is kept.
     """
-    once = cells.dropDuplicates(CELL_KEY)
+    once = cells.dropDuplicates(CELL_KEY) if late is None else cells.withWatermark("scored_at", late).dropDuplicatesWithinWatermark(CELL_KEY)
     return once.groupBy(*GROUP).agg(F.count("*").alias("n"), F.sum("log_lift").alias("sum_log_lift"))
 
 
-def late_cells_by_day(cells: DataFrame, late: str = "7 days") -> DataFrame:
-    """Cells per day of scoring and model, closed once the watermark has passed a day."""
-    return cells.withWatermark("scored_at", late).groupBy(F.window("scored_at", "1 day"), "model").agg(F.count("*").alias("n")).select(F.col("window.start").alias("day"), "model", "n")
-
-
 def score_arrivals(points: DataFrame, store: Store, oracle: Oracle, checkpoint: str) -> StreamingQuery:
     """Start scoring a stream ``points(dp_id, text)`` against the store's hypotheses, into its cell cache.
 
@@ -35,7 +31,10 @@ def score_arrivals(points: DataFrame, store: Store, oracle: Oracle, checkpoint:
     def batch(rows: DataFrame, _: int) -> None:
         fresh = rows.where("dp_id is not null and text is not null").dropDuplicates(["dp_id"])
         hyps = store.read("hypotheses").select("hyp_id", F.col("text").alias("hyp"))
-        pairs = fresh.select("dp_id", F.col("text").alias("dp")).join(hyps, how="cross")
+        told = fresh.select("dp_id", F.col("text").alias("dp"))
+        priced = told.join(oracle.priors(told).where("status = 'ok'").select("dp_id", "prior"), "dp_id")
+        # the grid of the arrivals is what is asked for: every new data point with every hypothesis
+        pairs = priced.join(hyps, how="cross")
         known = store.read("lift_cache").where(F.col("model") == oracle.model).select("hyp_id", "dp_id")
         cells = finished(oracle.cells(pairs.join(known, ["hyp_id", "dp_id"], "left_anti")), oracle.model)
         store.merge("lift_cache", cells)

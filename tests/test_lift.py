@@ -109,26 +109,76 @@ def test_remote_oracle_faults(spark):
     pairs = spark.createDataFrame([("h", "H", f"d{i}", t) for i, t in enumerate(["ok", "bad", "empty", "off"])], "hyp_id string, hyp string, dp_id string, dp string").coalesce(1)
 
     def connect():
-        def call(prompt):
+        def call(prompt, tokens, json_mode):
             if "bad" in prompt:
                 raise OSError("down")
             if "empty" in prompt:
                 return ""
             if "off" in prompt:
                 return '{"change": "sideways", "prior": 7.3, "relatedness": "kind of"}'
-            return '```json\n{"change": "MORE", "prior": "0.25", "relatedness": 1.5, "why": "x"}\n```'
+            return '```json\n{"change": "MORE\\t", "prior": "0.25", "relatedness": 1.5, "why": "x", "hypothesis": " One cause. ", "data_points": ["The valve was shut.", "no", "The valve was shut.", null]}\n```'
 
         return call
 
-    got = {r.dp_id: r for r in scoring.RemoteOracle("m", connect, "{h} {d}").cells(pairs).collect()}
+    calm = lambda s: None
+    oracle = scoring.RemoteOracle("m", connect, pause=calm)
+    got = {r.dp_id: r for r in oracle.cells(pairs).collect()}
     assert (got["d0"].change, got["d0"].prior, got["d0"].relatedness, got["d0"].status) == ("more", 0.25, 1.0, "ok")
     assert (got["d3"].change, got["d3"].prior, got["d3"].relatedness) == ("unchanged", 0.99, 0.0)
     assert got["d1"].status != "ok" and got["d2"].status != "ok" and got["d1"].change == "unchanged"
-    dead = scoring.RemoteOracle("m", lambda: (lambda _: (_ for _ in ()).throw(OSError("down"))), "{h}{d}")
+    told = scoring.failures(oracle.cells(pairs)).first()
+    assert told.ok == 2 and told.failed == 2 and told.degraded and len(told.errors) == 2 and any("down" in e for e in told.errors)
+    sets = spark.createDataFrame([("h", "claim", "a,b", ["one", "two"], 0.2), ("h", "bad", "c", ["x"], 0.5)], "hyp_id string, hyp string, set_key string, members array<string>, prior double")
+    joint = {r.set_key: r for r in oracle.joint(sets).collect()}
+    assert (joint["a,b"].change, joint["a,b"].lift, joint["a,b"].status) == ("more", 2.0, "ok") and joint["c"].lift == 1.0 and joint["c"].status != "ok"
+    chunks = spark.createDataFrame([("1", "1::c0", 0, "passage"), ("1", "1::c1", 1, "bad")], "doc_id string, chunk_id string, ord int, text string")
+    assert [(r.chunk_id, r.pos, r.text) for r in oracle.atoms(chunks).collect()] == [("1::c0", 0, "The valve was shut.")]
+    clusters = spark.createDataFrame([(0, ["a", "b"])], "cluster int, members array<string>")
+    assert oracle.proposals(clusters).first().hypothesis == "One cause."
+    dead = scoring.RemoteOracle("m", lambda: (lambda *_: (_ for _ in ()).throw(OSError("down"))), pause=calm)
     with pytest.raises(Exception, match="none succeeded"):
         dead.cells(pairs).collect()
 
 
+def test_tries_of_a_remote_call():
+    seen, waits = [], []
+
+    def call(prompt, tokens, json_mode):
+        seen.append((tokens, json_mode))
+        if len(seen) == 3:
+            raise OSError("busy")
+        return "" if len(seen) < 4 else '{"change": "less"}'
+
+    assert scoring.asked(call, "p", 500, 5, waits.append) == ('{"change": "less"}', "ok")
+    assert seen == [(500, True), (1200, False), (2400, False), (2400, False)] and waits == [0.5, 1.0, 3.0]
+    seen.clear()
+    waits.clear()
+    assert scoring.asked(lambda *_: None, "p", 500, 2, waits.append) == (None, "failed: no object") and waits == [0.5]
+
+
+def test_grid_asks_for_a_prior_once_a_data_point(spark):
+    hyps = spark.createDataFrame([("h1", "the pump seal cracked"), ("h2", "a choir sang")], "hyp_id string, text string")
+    points = spark.createDataFrame([("d1", "only the pump seal cracked at night"), ("d2", "nothing")], "dp_id string, text string")
+    got = {(r.hyp_id, r.dp_id): r for r in scoring.grid(hyps, points, scoring.LexicalOracle()).collect()}
+    assert len(got) == 4 and got["h1", "d1"].change == "much_more" and got["h2", "d1"].change == "unchanged"
+
+
+def test_sparse_grid_answers_like_the_whole_grid(spark):
+    from tessera.functions import scale
+    from tessera.operators import matrix
+
+    hyps = spark.createDataFrame([(f"h{i}", t) for i, t in enumerate(["the pump seal cracked at night", "the choir sang in the hall", "no pump ran at night", ""])], "hyp_id string, text string")
+    points = spark.createDataFrame([(f"d{i}", t, 0.5 + i / 4) for i, t in enumerate(["pump seal cracked", "no seal cracked at night", "the choir sang", "unrelated words here", ""])], "dp_id string, text string, cred double")
+    whole = scoring.grid(hyps, points, scoring.LexicalOracle()).join(points.select("dp_id", "cred"), "dp_id")
+    want = {r.hyp_id: (round(r.score, 9), r.n, r.n_supporting, r.n_contradicting, r.n_neutral, r.verdict) for r in matrix.hypothesis_scores(whole).collect()}
+    got = {r.hyp_id: (round(r.score, 9), r.n, r.n_supporting, r.n_contradicting, r.n_neutral, r.verdict) for r in scoring.lexical_scores(hyps, points).collect()}
+    assert got == want and len(want) == 4
+    spread = {r.dp_id: round(r.diagnosticity, 9) for r in matrix.diagnosticity(whole).collect()}
+    assert {r.dp_id: round(r.diagnosticity, 9) for r in scoring.lexical_diagnosticity(hyps, points).collect()} == spread
+    assert scoring.lexical_scores(hyps, points.limit(0)).where("n = 0 and score = 0 and verdict = 'neutral'").count() == 4
+    assert hyps.select(scale.change_label(F.lit("\tmore\u00a0\n")).alias("c")).first().c == "more"
+
+
 def test_entities_match_a_plain_version(spark):
     rows = ["The Mixer-Room at Halle lost 12,5% on 2024-03-01.", "nothing here", "ABC de Fgh 7 1.000 x9", ""]
     df = spark.createDataFrame([(t, '{"source": "Desk A", "oven": "3"}') for t in rows], "t string, m string").select("t", text.entities("t", "m").alias("e"))

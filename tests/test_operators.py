@@ -12,7 +12,8 @@ from tessera.functions.vectors import hash_matrix
 from tessera.operators import corpus, dense, density, evaluation, matrix, orphans, refute, residual
 from tessera.plans.settings import Settings
 from tessera.sources import scenario
-from tessera.sources.store import Store, read_sqlite
+from tessera.sources import ingest
+from tessera.sources.store import MOST_DELTAS, Store, read_sqlite
 
 
 def rows(df):
@@ -33,20 +34,21 @@ def plain_chunks(sentences, least=1, most=8):
     return [*out, n]
 
 
-def test_chunks_match_the_sequential_fold(spark):
+@pytest.mark.parametrize(("least", "most"), [(1, 8), (1, 3), (2, 3), (4, 8)])
+def test_chunks_match_the_sequential_fold(spark, least, most):
     rng = random.Random(3)
     words = "flour oven mixer shift invoice clerk gauge pump seal night audit label".split()
     docs = [(i, " ".join(" ".join(rng.choice(words) for _ in range(rng.randint(2, 6))).capitalize() + "." for _ in range(rng.randint(1, 30)))) for i in range(25)]
     docs += [(98, ""), (99, None)]
     got = {}
-    for r in corpus.chunks_of(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+    for r in corpus.chunks_of(spark.createDataFrame(docs, "doc_id long, text string"), Settings(chunk_min_sentences=least, chunk_max_sentences=most)).collect():
         got.setdefault(r.doc_id, {})[r.ord] = r.n_sentences
     from tessera.functions import text
 
     split = {r[0]: r[1] for r in spark.createDataFrame(docs, "doc_id long, text string").select("doc_id", text.simple_sentences("text")).collect()}
     for i, _ in docs:
         if split[i]:
-            assert [got[i][k] for k in sorted(got[i])] == plain_chunks(split[i]), i
+            assert [got[i][k] for k in sorted(got[i])] == plain_chunks(split[i], least, most), i
     assert 98 not in got and 99 not in got
 
 
@@ -54,7 +56,7 @@ def test_fold_chunks_respects_a_minimum(spark):
     sims = [0.9, 0.1, 0.8, 0.1, 0.1, 0.9]
     df = spark.createDataFrame([(sims, 0.1)], "s array<double>, t double")
     got = df.select(corpus.fold_chunks(F.col("s"), F.col("t"), Settings(chunk_min_sentences=2, chunk_max_sentences=3))).first()[0]
-    assert got == [0, 0, 1, 1, 2, 2, 2]
+    assert got == [0, 2, 4]
 
 
 def test_last_written_and_live(spark):
@@ -249,6 +251,19 @@ def test_store_versions_merge_and_clear(spark, tmp_path):
     assert s.read("prior_cache").count() == 0
 
 
+def test_store_folds_merges_into_a_version(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/store")
+    schema = "dp_id string, model string, prior double"
+    for k in range(MOST_DELTAS + 3):
+        s.merge("prior_cache", spark.createDataFrame([("d", "m", float(k)), (f"e{k}", "m", 0.5)], schema))
+    assert s._state("prior_cache") == (1, 2)
+    got = {r.dp_id: r.prior for r in s.read("prior_cache").collect()}
+    assert len(got) == MOST_DELTAS + 4 and got["d"] == MOST_DELTAS + 2
+    failed = spark.createDataFrame([("h", "d", "m", "more", 2.0, 0.7, 0.1, "supports", "", "failed: x")], "hyp_id string, dp_id string, model string, change string, lift double, log_lift double, relatedness double, verdict string, rationale string, status string")
+    s.merge("lift_cache", failed)
+    assert s.read("lift_cache").count() == 0
+
+
 def test_sqlite_scan(spark, tmp_path):
     import sqlite3
 
@@ -262,6 +277,78 @@ def test_sqlite_scan(spark, tmp_path):
     assert df.count() == 100 and df.agg(F.sum("n"), F.sum("x")).first()[:] == (4950, 2475.0)
 
 
+def test_ingest(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"))
+    rows_of = lambda data: spark.createDataFrame(data, "name string, text string, meta string")
+    text = "The pump seal cracked at night. The choir sang in the hall. The pump seal was replaced by the clerk."
+    for _ in range(2):  # the same again changes nothing
+        got = {r.doc_id: r.n_data_points for r in ingest.add_documents(s, rows_of([("a", text, '{"source": "desk"}'), ("b", "", None), (None, "x", None)])).collect()}
+    assert sorted(got.values()) == [0, 3] and s.read("documents").count() == 2 and s.read("data_points").count() == 3
+    doc = s.read("documents").where("name = 'a'").first().doc_id
+    assert matrix.points_of(s.read("data_points").withColumn("written_at", F.lit(0)), F.lit(doc)).count() == 3
+    assert rows(s.read("data_points").select("meta")) == {('{"source": "desk"}',)} and s.read("chunks").count() >= 1
+    ep = spark.createDataFrame([(" One claim only. ", '{"source": "d7"}'), (None, None)], "text string, meta string")
+    assert rows(ingest.add_episodes(s, ep, atomize=False).select("n_data_points")) == {(1,)}
+    one = s.read("data_points").where("chunk_id like 'chunk::%'").first()
+    assert one.text == "One claim only." and one.doc_id.startswith("doc::") and len(one.doc_id) == 13
+    assert ingest.add_episodes(s, ep).count() == 1
+    assert rows(scenario.case_ids(spark.createDataFrame([(one.dp_id,), ("zz",)], "dp_id string"), s.read("data_points")).select("case_dp")) == {("d7",), (None,)}
+    hyps = ingest.add_hypotheses(s, spark.createDataFrame([(" H one. ", " c ", None), ("H two.", None, "{}")], "text string, context_summary string, meta string"))
+    assert hyps.count() == 2 and s.read("hypotheses").where("text = 'H one.' and context_summary = 'c' and meta = '{}'").count() == 1
+    yaml = tmp_path / "s.yaml"
+    yaml.write_text("name: n\nepisodes:\n  - content: The log was altered.\nclaims:\n  - text: Someone altered it.\n")
+    assert ingest.load_scenario(s, [yaml], 0) == (1, 1)
+    with pytest.raises(IndexError):
+        ingest.load_scenario(s, [yaml], 1)
+
+
+def test_answers_for_one_hypothesis_and_at_the_ends(spark):
+    cells = spark.createDataFrame([("h1", "a", "m", 1.0, 2.7), ("h1", "b", "m", -0.5, 0.6), ("h2", "a", "m", -2.0, 0.14), ("h2", "b", "m", -1.0, 0.37)], "hyp_id string, dp_id string, model string, log_lift double, lift double").withColumn("verdict", F.lit("neutral")).withColumn("cred", F.lit(1.0)).withColumn("change", F.lit("more")).withColumn("relatedness", F.lit(0.5))
+    points = spark.createDataFrame([("a", 1, "text a", '{"source": "s", "noise": "duplicate"}', 1), ("b", 1, "text b", None, 1)], "dp_id string, doc_id long, text string, meta string, written_at int")
+    results = matrix.hypothesis_scores(cells)
+    assert rows(matrix.report_ends(results, cells, points)) == {("m", "top", "h1", "a", "text a"), ("m", "bottom", "h2", "a", "text a")}
+    assert rows(matrix.by_score(results).select("hyp_id", "rank")) == {("h1", 1), ("h2", 2)}
+    assert matrix.of_hypothesis(cells, "h1").count() == 2
+    with pytest.raises(LookupError):
+        matrix.of_hypothesis(cells, "h9")
+    lines = matrix.points_json(matrix.point_rows(cells, points)).collect()
+    assert len(lines) == 2 and any('"noise":"duplicate"' in r.json for r in lines)
+    assert matrix.matrix_json(cells, results).where("kind = 'cell' and json like '%\"lift\":2.7%'").count() == 1
+    sets = spark.createDataFrame([("h2", "a,b", ["a", "b"], 0.2, True, 3)], "hyp_id string, set_key string, members array<string>, joint_lift double, conjunction_only boolean, llm_calls int")
+    line = matrix.refutations_json(sets, points, cells).first().json
+    assert '"size":2' in line and '"member_lifts":{"a":0.14,"b":0.37}' in line and '"data_points":["text a","text b"]' in line
+    found = spark.createDataFrame([(0, ["a"], 1, 0.5, "H", 1.0, True)], "cluster int, dp_ids array<string>, size int, coherence double, hypothesis string, explained double, admitted boolean")
+    assert '"abduced_hypothesis":"H"' in matrix.residuals_json(found).first().json
+
+
+def test_case_filters_and_measures(spark):
+    cases = spark.createDataFrame([("c1", "conjunction_refutation", False), ("c2", "missing_hypothesis", True), ("c3", "missing_hypothesis", True)], "case_id string, capability string, control boolean")
+    assert scenario.cases_of(cases).count() == 3 and scenario.cases_of(cases, "missing").count() == 2 and scenario.cases_of(cases, "both", "c1").count() == 1
+    found = spark.createDataFrame([("c2", False), ("c1", True), ("c1", False)], "case_id string, conjunction_only boolean")
+    assert rows(evaluation.control_findings(cases, found)) == {("c2", 1, False), ("c3", 0, True)}
+    assert rows(evaluation.conjunction_found(found)) == {("c1", True), ("c2", False)}
+    planted = spark.createDataFrame([("c1", ["a", "b"]), ("c1", ["b", "c"])], "case_id string, members array<string>")
+    assert rows(evaluation.member_recall(planted, spark.createDataFrame([("c1", "b"), ("c1", "z")], "case_id string, dp_id string"))) == {("c1", 0.333333)}
+
+
+def test_hypotheses_beyond_one_block_are_compared(spark, monkeypatch):
+    hyps = spark.createDataFrame([(f"h{i}", f"word{i} alone") for i in range(40)], "hyp_id string, text string")
+    points = spark.createDataFrame([(f"d{i}", f"word{i * 7} here") for i in range(12)], "dp_id string, text string")
+    whole = rows(residual.retrieval_baseline(hyps, points))
+    monkeypatch.setattr(residual, "SIDE_ROWS", 6)
+    assert rows(residual.retrieval_baseline(hyps, points)) == whole and len(whole) == 4
+
+
+def test_sparse_tfidf_is_the_dense_one(spark):
+    from tessera.functions import vectors
+
+    texts = ["the pump seal cracked", "the pump seal seal", "choir night", ""]
+    dense_rows = vectors.tfidf_matrix(texts)
+    names = sorted({w for t in texts for w in t.split()})
+    for r in vectors.sparse_tfidf(spark.createDataFrame([(0, i, t) for i, t in enumerate(texts)], "g int, i int, t string"), "g", ["i"], "t").collect():
+        assert abs(dense_rows[r.i, names.index(r.term)] - r.weight) < 1e-9
+
+
 def test_arrivals_are_scored_once(spark, tmp_path):
     from tessera.operators.scoring import LexicalOracle
     from tessera.streaming.incremental import score_arrivals

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from tests.conftest import ROOT
+
 from tessera.plans import catalog, shared
 
 
@@ -14,8 +16,18 @@ def test_shared_folder_is_the_configured_one(spark):
     assert shared.cut(df).count() == 10 and shared.stored(df.limit(0)).count() == 0
 
 
-def test_default_name_avoids_clashes():
-    assert shared.default_name("x", ["X", "_x"]) == "__x" and shared.default_name("y", ["x"]) == "y"
+def test_spread_deals_out_few_partitions_only(spark):
+    least = 4 * spark.sparkContext.defaultParallelism
+    assert shared.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == least
+    assert shared.spread(spark.range(10).repartition(least + 3)).rdd.getNumPartitions() == least + 3
+
+
+def test_entry_goes_on_without_what_the_training_data_operators_need():
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['regex'] = None; import __spark_entry__ as e; q = e.queries(); assert 'p3_found' in q and 'p1_found' not in q and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-W", "ignore", "-c", code], check=True, cwd=ROOT)
 
 
 def test_every_sql_has_its_query():
