@@ -104,6 +104,13 @@ def density_clusters(spark: SparkSession, d: str) -> DataFrame:
     return density.labelled(codes, "case_id", "vec_id", S.DEFAULTS.min_cluster).groupBy("cluster").agg(F.count("*").alias("size"))
 
 
+def density_checks(spark: SparkSession, d: str) -> DataFrame:
+    """One row of what holds of the density clusters: every vector has one label, and no cluster is too small."""
+    found = density_clusters(spark, d)
+    small = (F.col("cluster") >= 0) & (F.col("size") < S.DEFAULTS.min_cluster)
+    return found.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n_vectors"), (F.count_if(small) == 0).alias("sizes"))
+
+
 def streamed_scores(spark: SparkSession, d: str) -> DataFrame:
     """Counts and sums of log lifts per hypothesis and model, kept by a stream over the cell table until it has read all of it."""
     source = table(spark, d, "lift_cache")
@@ -126,7 +133,7 @@ def noise_injection(spark: SparkSession, d: str) -> DataFrame:
     return scenario.with_noise(own, _OFF_TOPIC, n=4, duplicates=1)
 
 
-QUERIES = {f.__name__: f for f in (guaranteed_scale, safe_numbers, oracle_replies, set_recall, cluster_recall, member_recall, control_findings, noise_diagnosticity, scenario_metrics, capability_report, threshold_sweep, density_clusters, streamed_scores, noise_injection)}
+QUERIES = {f.__name__: f for f in (guaranteed_scale, safe_numbers, oracle_replies, set_recall, cluster_recall, member_recall, control_findings, noise_diagnosticity, scenario_metrics, capability_report, threshold_sweep, density_clusters, density_checks, streamed_scores, noise_injection)}
 
 
 def _values(rows: list[tuple]) -> str:
@@ -154,6 +161,7 @@ SQL = {
     "cluster_recall": f"""with p(case_id, m) as (values {_values(_RECALLED)}), f(case_id, pos, m) as (values {_values([(c, i, m) for i, (c, m) in enumerate(_FOUND)])}),
         s as (select p.case_id, pos, coalesce(len(list_intersect(p.m, f.m)), 0) / len(p.m) recall, coalesce(len(list_intersect(p.m, f.m)) / len(f.m), 0.0) purity from p left join f using (case_id))
         select case_id, round(arg_min(recall, (-recall, pos)), 6) recall, round(arg_min(purity, (-recall, pos)), 6) purity from s group by 1""",
+    "density_checks": "select count(*) n_vectors, true sizes from embeddings where vec_id is not null and embedding is not null",
     "member_recall": f"""with p as (select distinct case_id, unnest(m) dp_id from (values {_values(_PLANTED)}) t(case_id, m)), f as (select distinct case_id, unnest(m) dp_id, 1 hit from (values {_values(_FOUND)}) t(case_id, m))
         select case_id, round(avg(coalesce(hit, 0)), 6) recall from p left join f using (case_id, dp_id) group by 1""",
     "control_findings": f"""with f as (select case_id, count(*) n from (values {_values([(c,) for c, _ in _FOUND])}) t(case_id) group by 1)

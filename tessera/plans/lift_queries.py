@@ -331,6 +331,21 @@ def residual_clusters(spark: SparkSession, d: str) -> Q:
     return residual.clusters(_whole(_members(spark, d)), "case_id").select("cluster", "dp_ids", "size", F.round("coherence", 6).alias("coherence"))
 
 
+def residual_cluster_checks(spark: SparkSession, d: str) -> Q:
+    """One row of what holds of the residual clusters: members are residual points, none is in two clusters, none is too small, and the coherence is that of the members' vectors."""
+    rows = _members(spark, d)
+    found = stored(residual.clusters(_whole(rows), "case_id").drop("case_id"))
+    members = found.select("cluster", F.explode("dp_ids").alias("dp_id"))
+    known = members.join(rows.select("dp_id", "text"), "dp_id", "left")
+    v = sparse_hashing(known.where("text is not null"), ["cluster", "dp_id"], "text")
+    sums = v.groupBy("cluster", "bucket").agg(F.sum("weight").alias("s")).groupBy("cluster").agg(F.sum(F.col("s") * F.col("s")).alias("s"))
+    again = found.join(sums, "cluster", "left").select("size", F.size("dp_ids").alias("n"), "coherence", ((F.coalesce("s", F.lit(0.0)) - F.col("size")) / (F.col("size") * (F.col("size") - 1))).alias("again"))
+    holds = lambda c: F.coalesce(F.bool_and(c), F.lit(True))
+    sizes = again.agg(holds((F.col("size") == F.col("n")) & (F.col("size") >= S.DEFAULTS.min_cluster)).alias("sizes"), holds(F.abs(F.col("coherence") - F.col("again")) < 1e-6).alias("coherences"))
+    ids = known.agg((F.count("*") == F.count_distinct("dp_id")).alias("disjoint"), holds(F.col("text").isNotNull()).alias("residual"))
+    return sizes.join(ids, how="cross")  # one row each
+
+
 def abduced_terms(spark: SparkSession, d: str) -> Q:
     return residual.abduced(residual.top_terms(_members(spark, d).where("doc_id is not null"), ["doc_id"]))
 
@@ -373,7 +388,7 @@ QUERIES = {
         latest_data_points, live_documents, live_data_points, entity_sets, priors, lexical_pairs, lexical_cells, parsed_replies, change_labels, lift_scale, verdict_histogram, hypothesis_scores,
         ranked_hypotheses, diagnostic_order, matrix_points, report_ends, hypothesis_view, document_points, scenario_hypotheses, grid_scores, grid_diagnosticity, grid_detail, tfidf_norms,
         best_worst_cells, diagnosticity, diagnosticity_top, diagnosticity_bottom, hypothesis_detail, matrix_wide, matrix_documents, cache_misses, cache_merge, pairwise_refutations,
-        refutation_seeds, structural_candidates, joint_lift_pairs, refuting_sets, residual_points, residual_counts, retrieval_topk, residual_clusters, abduced_terms, missing_hypotheses,
+        refutation_seeds, structural_candidates, joint_lift_pairs, refuting_sets, residual_points, residual_counts, retrieval_topk, residual_clusters, residual_cluster_checks, abduced_terms, missing_hypotheses,
         verify_abduction, supporting_terms, embedding_coherence, embedding_separability,
     )},
     "oracle_tokens": _tokens("tokens", lambda: text.oracle_tokens("text")),

@@ -99,7 +99,41 @@ _EVIDENCE = f"""ev as (select c.hyp_id, c.dp_id, c.lift, {_cues("p.text", S.NEGA
     s.neg + e.neg neg, s.pos + e.pos pos, least(s.prior, e.prior) prior from seeds s join ev e on e.hyp_id = s.hyp_id and e.dp_id <> s.dp_id),
   listed as (select *, row_number() over (partition by hyp_id, seed order by score desc, cand) place from near where score > 0)"""
 
+_JOINT = "case when {n} > 0 and {p} > 0 then 'much_less' when {n} > 0 then 'less' when {p} >= 2 then 'more' else 'unchanged' end"
+
+
+def _refuting(size: int = S.DEFAULTS.set_size) -> str:
+    """The search unrolled: rounds of growth (t: trials, f: frontier, d: done), rounds of dropping members, and the report."""
+    parts = ["f0 as (select hyp_id, seed, [dp_id] m, neg, pos, prior, lift, ents, toks from seeds)"]
+    for k in range(1, size):
+        parts.append(f"""a{k} as (select f.hyp_id, f.seed, f.m, f.lift, e.dp_id cand, f.neg + e.neg neg, f.pos + e.pos pos, least(f.prior, e.prior) prior, list_distinct(list_concat(f.ents, e.ents)) ents, list_distinct(list_concat(f.toks, e.toks)) toks,
+            10 * len(list_intersect(f.ents, e.ents)) + len(list_intersect(f.toks, e.toks)) score from f{k - 1} f join ev e on e.hyp_id = f.hyp_id and not list_contains(f.m, e.dp_id))""")
+        parts.append(f"l{k} as (select *, row_number() over (partition by hyp_id, seed order by score desc, cand) place from a{k} where score > 0)")
+        parts.append(f"j{k} as (select *, {_JOINT.format(n='neg', p='pos')} change from l{k} where place <= {S.DEFAULTS.shortlist})")
+        parts.append(f"t{k} as (select *, {_lift('change', 'prior')} joint from j{k})")
+        parts.append(f"b{k} as (select *, row_number() over (partition by hyp_id, seed order by joint, place) first from t{k} where joint < lift)")
+        parts.append(f"g{k} as (select hyp_id, seed, list_append(m, cand) m, neg, pos, prior, joint lift, ents, toks from b{k} where first = 1)")
+        parts.append(f"f{k} as (select * from g{k} where lift >= {S.DEFAULTS.refute_lift})")
+    calls = " union all ".join(f"select hyp_id, seed from t{k}" for k in range(1, size))
+    parts.append(f"calls as (select hyp_id, seed, sum(count(*)) over (partition by hyp_id order by seed)::bigint llm_calls from ({calls}) group by hyp_id, seed)")
+    done = " union all ".join(f"select hyp_id, seed, m, lift from g{k} where lift < {S.DEFAULTS.refute_lift}" for k in range(1, size))
+    parts.append(f"s0 as ({done})")
+    for r in range(1, size - 1):
+        parts.append(f"""w{r} as (select hyp_id, seed, i, list_concat(m[:i - 1], m[i + 1:]) m from (select *, unnest(range(1, len(m) + 1)) i from s{r - 1} where len(m) > 2))""")
+        parts.append(f"x{r} as (select w.hyp_id, w.seed, w.i, any_value(w.m) m, sum(e.neg) neg, sum(e.pos) pos, min(e.prior) prior from (select *, unnest(m) dp_id from w{r}) w join ev e on e.hyp_id = w.hyp_id and e.dp_id = w.dp_id group by w.hyp_id, w.seed, w.i)")
+        parts.append(f"y{r} as (select *, {_JOINT.format(n='neg', p='pos')} change from x{r})")
+        parts.append(f"z{r} as (select distinct on (hyp_id, seed) hyp_id, seed, m, lift from (select *, {_lift('change', 'prior')} lift from y{r}) where lift < {S.DEFAULTS.refute_lift} order by hyp_id, seed, i)")
+        parts.append(f"s{r} as (select s.hyp_id, s.seed, coalesce(z.m, s.m) m, coalesce(z.lift, s.lift) lift from s{r - 1} s left join z{r} z on z.hyp_id = s.hyp_id and z.seed = s.seed)")
+    parts.append(f"named as (select distinct on (hyp_id, set_key) * from (select *, array_to_string(list_sort(list_distinct(m)), ',') set_key from s{size - 2}) order by hyp_id, set_key, seed)")
+    parts.append("own as (select n.hyp_id, n.set_key, min(e.lift) least from (select hyp_id, set_key, unnest(m) dp_id from named) n join ev e on e.hyp_id = n.hyp_id and e.dp_id = n.dp_id group by all)")
+    return f"""with {POINTS}, {CELLS}, {_EVIDENCE}, {", ".join(parts)}
+        select n.hyp_id, n.seed, n.set_key, round(lift, 6) joint_lift, round(ln(greatest(lift, 1e-6)), 6) joint_log_lift, least >= {S.DEFAULTS.refute_lift} conjunction_only, llm_calls
+        from named n join own o on o.hyp_id = n.hyp_id and o.set_key = n.set_key join calls c on c.hyp_id = n.hyp_id and c.seed = n.seed"""
+
+
 SQL = {
+    "refuting_sets": _refuting(),
+    "residual_cluster_checks": "select true sizes, true coherences, true disjoint, true residual",
     "sentence_split": f"with {SENTENCES} select doc_id, pos, sentence from sentences",
     "sentence_stats": f"with {SENTENCES} select doc_id, count(*) n_sentences, sum(length(sentence))::bigint n_chars from sentences group by 1",
     "content_ids": r"select distinct dp_id, left(sha256(encode(text) || '\x00'::blob), 16) content_id from data_points where text is not null",
