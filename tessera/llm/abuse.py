@@ -72,7 +72,11 @@ def _words_of(token: str) -> tuple[str, ...]:
 
 def words(sentence: str) -> list[str]:
     """The words of a sentence, with hidden spellings undone: spelled-out, stretched and leet letters, full-width forms."""
-    return [w for token in sentence.split() for w in _words_of(token)]
+    found: list[str] = []
+    get = _read.get
+    for token in sentence.split():
+        found += get(token) or _words_of(token)
+    return found
 
 
 def features(sentence: str) -> list[str]:
@@ -92,7 +96,12 @@ class Model:
         for k, v in weights.items():
             if " " not in k and len(k) > 2 and v.max() > 1.0:
                 self.starred[k[0], k[-1]].append((len(k), k))
-        self._pairs: dict[str, tuple[float, ...]] = {}
+        self._pairs: dict[str, dict[str, tuple[float, ...]]] = defaultdict(dict)
+        for k, v in self.weights.items():
+            first, _, second = k.partition(" ")
+            if second:
+                self._pairs[first][second] = v
+        self._pairs = dict(self._pairs)
 
     def _unstar(self, word: str) -> str:
         near = [k for n, k in self.starred.get((word[0], word[-1]), []) if 0 <= len(word) - n <= 2 or n == len(word) + 1]
@@ -100,22 +109,27 @@ class Model:
 
     def logits(self, sentence: str) -> tuple[float, float, float]:
         w = words(sentence)
-        a, h, s = self.bias
-        get = self.weights.get
+        a, h, s = map(float, self.bias)
+        get, pairs = self.weights.get, self._pairs
         seen = set()
         starred = False
+        after: dict[str, tuple[float, ...]] | None = None  # the pairs that the word before begins
         before = ""
         for x in w:
             if "*" in x:
                 starred, x = True, self._unstar(x)
-            for f in (x, f"{before} {x}"):
-                v = get(f)
-                if v is not None and f not in seen:
-                    seen.add(f)
-                    a += v[0]
-                    h += v[1]
-                    s += v[2]
-            before = x
+            v = get(x)
+            if v is not None and x not in seen:
+                seen.add(x)
+                a += v[0]
+                h += v[1]
+                s += v[2]
+            if after is not None and (v := after.get(x)) is not None and (before, x) not in seen:
+                seen.add((before, x))
+                a += v[0]
+                h += v[1]
+                s += v[2]
+            after, before = pairs.get(x), x
         if starred and (v := get("*")) is not None:
             a, h, s = a + v[0], h + v[1], s + v[2]
         return a, h, s
