@@ -117,6 +117,21 @@ def oracle_json(raw: Column | str) -> Column:
     return F.coalesce(whole, F.when((inner != "") & F.get_json_object(inner, "$").isNotNull(), inner))
 
 
+def labelled_field(text: Column | str, label: str) -> Column:
+    """What follows the first occurrence of a label, to the end of that line (the next one, where nothing follows on its own); empty without one."""
+    quoted = r"\Q" + label + r"\E"
+    return stripped(F.regexp_extract(col_of(text), rf"{quoted}\s*(.+)", 1))
+
+
+def prompt_kind(prompt: Column | str) -> Column:
+    """Which question a free prompt asks, by the phrases that mark it, the first in this order; typed calls of an oracle do not need it."""
+    p, low = col_of(prompt), F.lower(col_of(prompt))
+    split = F.contains(p, F.lit("Split the passage")) | F.contains(p, F.lit("atomic")) & F.contains(p, F.lit("propositions"))
+    out = F.when(split, "atomize").when(F.contains(p, F.lit("Propose ONE single hypothesis")), "abduce").when(F.contains(p, F.lit("taken TOGETHER as a single combined fact")), "joint_lift")
+    out = out.when(F.contains(low, F.lit("base rate")) | F.contains(low, F.lit("randomly chosen")), "prior").when(F.contains(low, F.lit("topically related")), "relatedness")
+    return out.when(F.contains(low, F.lit("change")) & F.contains(low, F.lit("scenario")), "lift").otherwise("unknown")
+
+
 def source_of(meta: Column | str, doc_id: Column | str) -> Column:
     """The source named in ``meta``, else the document; an empty name falls through."""
     named = F.get_json_object(col_of(meta), "$.source")

@@ -76,7 +76,7 @@ def report(cases: DataFrame, measures: list[str]) -> DataFrame:
 
 
 def threshold_sweep(rows: DataFrame, group: str, thresholds: list[float], min_sizes: list[int]) -> DataFrame:
-    """(group, threshold, min_size, n_clusters, f1) of ``rows(group, dp_id, vec, planted)``: average linkage at every grid point.
+    """(group, threshold, min_size, n_clusters, recall, purity, f1) of ``rows(group, dp_id, vec, planted)``: average linkage at every grid point.
 
     The best F1 of a cluster against the planted members; a group is one case and fits a task.
     """
@@ -89,18 +89,19 @@ def threshold_sweep(rows: DataFrame, group: str, thresholds: list[float], min_si
         for t in thresholds:
             labels = dense.average_linkage(v, t)
             for least in min_sizes:
-                f1, n = 0.0, 0
+                best, n = (0.0, 0.0, 0.0), 0
                 for c in set(labels):
                     own = labels == c
                     if own.sum() >= least:
                         n += 1
                         hit = float((own & planted).sum())
                         recall, purity = hit / max(planted.sum(), 1), hit / own.sum()
-                        f1 = max(f1, 2 * recall * purity / (recall + purity) if hit else 0.0)
-                out.append((pdf[group].iat[0], t, least, n, round(f1, 6)))
-        return pd.DataFrame(out, columns=[group, "threshold", "min_size", "n_clusters", "f1"])
+                        best = max(best, (2 * recall * purity / (recall + purity) if hit else 0.0, recall, purity))
+                f1, recall, purity = best
+                out.append((pdf[group].iat[0], t, least, n, round(recall, 6), round(purity, 6), round(f1, 6)))
+        return pd.DataFrame(out, columns=[group, "threshold", "min_size", "n_clusters", "recall", "purity", "f1"])
 
-    return rows.groupBy(group).applyInPandas(one, f"{group} {kind}, threshold double, min_size int, n_clusters int, f1 double")
+    return rows.groupBy(group).applyInPandas(one, f"{group} {kind}, threshold double, min_size int, n_clusters int, recall double, purity double, f1 double")
 
 
 def best_threshold(sweep: DataFrame, group: str) -> DataFrame:

@@ -216,6 +216,17 @@ def matrix_points(spark: SparkSession, d: str) -> Q:
     return matrix.point_rows(_cells(spark, d), table(spark, d, "data_points")).drop("text")
 
 
+def matrix_by_hypothesis(spark: SparkSession, d: str) -> Q:
+    """The matrix of the first scenario: data points by its hypotheses, in the order of their ids, as columns of the greatest log lift of any model."""
+    hyps = table(spark, d, "hypotheses").select("hyp_id", F.get_json_object("meta", "$.scenario").alias("scenario")).where("scenario is not null")
+    own = hyps.join(hyps.agg(F.min("scenario").alias("scenario")), "scenario", "left_semi")
+    ids = [r.hyp_id for r in own.select("hyp_id").dropDuplicates().orderBy("hyp_id").limit(MOST_MODELS + 1).collect()]
+    if len(ids) > MOST_MODELS:
+        raise ValueError(f"more than {MOST_MODELS} hypotheses: read the cells in long form")
+    cells = _cells(spark, d).join(own.select("hyp_id"), "hyp_id", "left_semi")
+    return matrix.wide(cells, ["dp_id"], "hyp_id", ids).withColumnsRenamed({h: f"h{k + 1}" for k, h in enumerate(ids)})
+
+
 def report_ends(spark: SparkSession, d: str) -> Q:
     """The best evidence of the first hypothesis and the worst of the last, per model."""
     return matrix.report_ends(hypothesis_scores(spark, d), _cells(spark, d), table(spark, d, "data_points"))
@@ -386,7 +397,7 @@ QUERIES = {
     **{f.__name__: f for f in (
         sentence_split, sentence_stats, content_ids, hash_embed_norms, adjacent_similarity, trough_threshold, semantic_chunks, chunk_atoms, dedup_atoms_last_writer,
         latest_data_points, live_documents, live_data_points, entity_sets, priors, lexical_pairs, lexical_cells, parsed_replies, change_labels, lift_scale, verdict_histogram, hypothesis_scores,
-        ranked_hypotheses, diagnostic_order, matrix_points, report_ends, hypothesis_view, document_points, scenario_hypotheses, grid_scores, grid_diagnosticity, grid_detail, tfidf_norms,
+        ranked_hypotheses, diagnostic_order, matrix_points, matrix_by_hypothesis, report_ends, hypothesis_view, document_points, scenario_hypotheses, grid_scores, grid_diagnosticity, grid_detail, tfidf_norms,
         best_worst_cells, diagnosticity, diagnosticity_top, diagnosticity_bottom, hypothesis_detail, matrix_wide, matrix_documents, cache_misses, cache_merge, pairwise_refutations,
         refutation_seeds, structural_candidates, joint_lift_pairs, refuting_sets, residual_points, residual_counts, retrieval_topk, residual_clusters, residual_cluster_checks, abduced_terms, missing_hypotheses,
         verify_abduction, supporting_terms, embedding_coherence, embedding_separability,

@@ -133,6 +133,8 @@ def _refuting(size: int = S.DEFAULTS.set_size) -> str:
 
 SQL = {
     "refuting_sets": _refuting(),
+    "matrix_by_hypothesis": f"""with {CELLS}, own as (select hyp_id, row_number() over (order by hyp_id) k from hypotheses where json_extract_string(meta, '$.scenario') = (select min(json_extract_string(meta, '$.scenario')) from hypotheses)),
+        x as (select dp_id, 'h' || k h, round(log_lift, 6) v from cells join own using (hyp_id)) pivot x on h using max(v) group by dp_id""",
     "residual_cluster_checks": "select true sizes, true coherences, true disjoint, true residual",
     "sentence_split": f"with {SENTENCES} select doc_id, pos, sentence from sentences",
     "sentence_stats": f"with {SENTENCES} select doc_id, count(*) n_sentences, sum(length(sentence))::bigint n_chars from sentences group by 1",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The setting in which a cluster names the folder that all executors share.
@@ -55,6 +55,15 @@ def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, name: str, *columns: Column) -> tuple[DataFrame, Observation]:
+    """``df`` that counts its rows (and ``columns``, aggregates) as they pass, whatever action runs; the observation has the sums when it ends.
+
+    Progress within a run is the engine's own: stages and tasks by ``statusTracker`` and the listeners.
+    """
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *columns), seen
+
+
 #: Partitions a core that keep the last tasks of a stage short.
 _WAVES = 4
 
@@ -65,4 +74,4 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
-__all__ = ["F", "cut", "shared_dir", "spread", "stored", "table"]
+__all__ = ["F", "cut", "observed", "shared_dir", "spread", "stored", "table"]

@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.text import stripped
+
 EPISODES = "scenario string, pos int, text string, credibility double, source_type string, meta string"
 CLAIMS = "scenario string, pos int, text string, context_summary string, surviving boolean, eliminated boolean, expected_verdict string"
 CASES = "case_id string, capability string, control boolean, adversarial string, domain string, hypothesis string, given_hypotheses array<string>, refuting_sets array<array<string>>, cluster_members array<string>, missing_hypothesis string"
@@ -66,6 +68,12 @@ def read_cases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame(cases, CASES), spark.createDataFrame(points, CASE_POINTS)
 
 
+def aligned(claims: DataFrame, truths: DataFrame) -> DataFrame:
+    """``claims(scenario, text)`` with what is known of them by their text without white space around it; null where nothing is."""
+    known = truths.withColumn("_text", stripped("text")).drop("text").dropDuplicates(["scenario", "_text"])
+    return claims.withColumn("_text", stripped("text")).join(known, ["scenario", "_text"], "left").drop("_text")
+
+
 #: Short names of capabilities.
 ALIASES = {"conjunction": "conjunction_refutation", "missing": "missing_hypothesis"}
 

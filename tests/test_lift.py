@@ -140,6 +140,14 @@ def test_remote_oracle_faults(spark):
         dead.cells(pairs).collect()
 
 
+def test_prompts_by_their_phrases(spark):
+    prompts = ["Split the passage", "atomic propositions", "Propose ONE single hypothesis", "taken TOGETHER as a single combined fact", "a Base Rate", "Topically related", "what would change in this scenario", "hello"]
+    got = values(spark.createDataFrame([(i, p) for i, p in enumerate(prompts)], "i int, p string").orderBy("i").select(text.prompt_kind("p")))
+    assert [g[0] for g in got] == ["atomize", "atomize", "abduce", "joint_lift", "prior", "relatedness", "lift", "unknown"]
+    fields = spark.createDataFrame([("A: one (x)\nB: two",), ("no",)], "p string").select(text.labelled_field("p", "A:"), text.labelled_field("p", "B:"))
+    assert values(fields) == [("one (x)", "two"), ("", "")]
+
+
 def test_tries_of_a_remote_call():
     seen, waits = [], []
 

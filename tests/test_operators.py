@@ -331,6 +331,21 @@ def test_case_filters_and_measures(spark):
     assert rows(evaluation.member_recall(planted, spark.createDataFrame([("c1", "b"), ("c1", "z")], "case_id string, dp_id string"))) == {("c1", 0.333333)}
 
 
+def test_markers_of_a_source_tree(spark, tmp_path):
+    from tessera.sources.markers import marked
+
+    (tmp_path / "pkg").mkdir()
+    (tmp_path / "pkg" / "a.py").write_text("X = 1\n\nclass C:\n    def one(self):\n        y = 2\n\n        return 'alpha'\n\n    def two(self):\n        return 'beta'\n")
+    got = {(r.file, r.function, r.marker): r.found for r in marked(spark, str(tmp_path), [("a.py", None, "beta"), ("a.py", "one", "alpha"), ("a.py", "one", "beta"), ("a.py", "two", "beta"), ("b.py", None, "x")]).collect()}
+    assert got == {("a.py", None, "beta"): True, ("a.py", "one", "alpha"): True, ("a.py", "one", "beta"): False, ("a.py", "two", "beta"): True, ("b.py", None, "x"): False}
+
+
+def test_truths_align_by_text(spark):
+    claims = spark.createDataFrame([("s", " One. "), ("s", "Two.")], "scenario string, text string")
+    truths = spark.createDataFrame([("s", "One.\n", True), ("t", "Two.", True)], "scenario string, text string, surviving boolean")
+    assert rows(scenario.aligned(claims, truths).select("text", "surviving")) == {(" One. ", True), ("Two.", None)}
+
+
 def test_hypotheses_beyond_one_block_are_compared(spark, monkeypatch):
     hyps = spark.createDataFrame([(f"h{i}", f"word{i} alone") for i in range(40)], "hyp_id string, text string")
     points = spark.createDataFrame([(f"d{i}", f"word{i * 7} here") for i in range(12)], "dp_id string, text string")

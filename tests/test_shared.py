@@ -22,6 +22,11 @@ def test_spread_deals_out_few_partitions_only(spark):
     assert shared.spread(spark.range(10).repartition(least + 3)).rdd.getNumPartitions() == least + 3
 
 
+def test_rows_are_counted_as_they_pass(spark):
+    df, seen = shared.observed(spark.range(7), "passed", F.max("id").alias("most"))
+    assert df.where("id > 2").count() == 4 and seen.get == {"rows": 7, "most": 6}
+
+
 def test_entry_goes_on_without_what_the_training_data_operators_need():
     import subprocess
     import sys
