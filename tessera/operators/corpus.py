@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions.vectors import bucket, hash_tokens
 from tessera.plans.settings import DEFAULTS, Settings
+from tessera.plans.shared import spread
 
 
 def last_written(log: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -33,9 +34,10 @@ def sentence_rows(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.posexplode(T.simple_sentences("text")).alias("pos", "sentence"))
 
 
-def _counted(buckets: F.Column) -> F.Column:
-    """(k, n): the distinct buckets of a sentence and how many of its words fall into each; linear in the words for a bounded number of buckets."""
-    return F.struct(F.array_distinct(buckets).alias("k"), F.transform(F.array_distinct(buckets), lambda k: F.size(F.filter(buckets, lambda x: x == k)).cast("double")).alias("n"))
+def _counted(ordered: F.Column, distinct: F.Column) -> F.Column:
+    """(k, n): the distinct buckets of a sentence and how many of its words fall into each, by the places at which they begin in order."""
+    places = F.transform(distinct, lambda k: F.array_position(ordered, k))
+    return F.struct(distinct.alias("k"), places.alias("p"), (F.size(ordered) + 1).cast("long").alias("end"))
 
 
 def _product(a: F.Column, b: F.Column) -> F.Column:
@@ -46,11 +48,14 @@ def _product(a: F.Column, b: F.Column) -> F.Column:
 def sentence_gaps(documents: DataFrame) -> DataFrame:
     """(doc_id, sentences, sims): a document's sentences and the cosines of the hashed words of each with the next one's, in one row.
 
-    Nothing is shuffled: a document's sentences stay where it was read. Cosines are rounded, as thresholds compare them.
+    Nothing is shuffled but texts that a scan packs into few splits: a document's sentences stay in its row. Cosines are rounded, as thresholds compare them.
     """
-    split = documents.where("text is not null").select("doc_id", T.simple_sentences("text").alias("sentences"))
+    split = spread(documents.where("text is not null").select("doc_id", "text")).select("doc_id", T.simple_sentences("text").alias("sentences"))
     hashed = split.withColumn("_b", F.transform("sentences", lambda x: F.transform(hash_tokens(x), bucket)))
-    counted = hashed.withColumn("_c", F.transform("_b", _counted))
+    ordered = hashed.withColumn("_s", F.transform("_b", lambda b: F.sort_array(b))).withColumn("_k", F.transform("_s", lambda s: F.array_distinct(s)))
+    placed = ordered.withColumn("_p", F.zip_with("_s", "_k", _counted))
+    each = lambda c: F.transform(c["p"], lambda v, i: (F.coalesce(F.get(c["p"], i + 1), c["end"]) - v).cast("double"))
+    counted = placed.withColumn("_c", F.transform("_p", lambda c: F.struct(c["k"].alias("k"), each(c).alias("n"))))
     normed = counted.withColumn("_n", F.transform("_c", lambda c: F.sqrt(F.aggregate(c["n"], F.lit(0.0), lambda s, x: s + x * x))))
 
     def cosine(i: F.Column) -> F.Column:
@@ -70,7 +75,7 @@ def adjacent_similarity(documents: DataFrame) -> DataFrame:
 
 def _threshold(sims: F.Column, share: float) -> F.Column:
     """The exact percentile of an array, interpolated; null for an empty one."""
-    ordered, at = F.array_sort(sims), (F.size(sims) - 1) * F.lit(share)
+    ordered, at = F.sort_array(sims), (F.size(sims) - 1) * F.lit(share)
     low = F.floor(at).cast("int")
     lower = F.get(ordered, low)
     return lower + (F.get(ordered, F.least(low + 1, F.size(sims) - 1)) - lower) * (at - low)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scale, text
 from tessera.operators.ranking import first_k
 from tessera.plans.settings import DEFAULTS, Settings
-from tessera.plans.shared import cut, stored
+from tessera.plans.shared import cut
 
 STATE = ["hyp_id", "seed", "members", "lift"]
 
@@ -24,9 +24,10 @@ def pairwise_refutations(cells: DataFrame, threshold: float = DEFAULTS.refute_li
 
 
 def evidence(cells: DataFrame, hyps: DataFrame, points: DataFrame) -> DataFrame:
-    """(hyp_id, dp_id, lift, neg, pos, prior, ents, toks): what the search needs to know of each cell."""
+    """(hyp_id, dp_id, lift, neg, pos, prior, ents, toks): what the search needs to know of each cell; entities and words are hashed."""
+    hashed = lambda xs: F.transform(xs, lambda x: F.xxhash64(x))
     h = hyps.select("hyp_id", text.oracle_tokens("text").alias("htoks"))
-    p = points.select("dp_id", text.negative("text").alias("neg"), text.lexical_prior("text").alias("prior"), text.oracle_tokens("text").alias("dtoks"), text.entities("text", "meta").alias("ents"), text.screen_tokens("text").alias("toks"))
+    p = points.select("dp_id", text.negative("text").alias("neg"), text.lexical_prior("text").alias("prior"), text.oracle_tokens("text").alias("dtoks"), hashed(text.entities("text", "meta")).alias("ents"), hashed(text.screen_tokens("text")).alias("toks"))
     pos = F.arrays_overlap("htoks", "dtoks")
     return cells.select("hyp_id", "dp_id", "lift").join(h, "hyp_id").join(p, "dp_id").select("hyp_id", "dp_id", "lift", F.col("neg").cast("int").alias("neg"), pos.cast("int").alias("pos"), "prior", "ents", "toks")
 
@@ -40,23 +41,17 @@ def seeds(ev: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return ranked.select("hyp_id", (F.col("rank") - 1).alias("seed"), "dp_id", "lift")
 
 
-def features_of(ev: DataFrame) -> DataFrame:
-    """(hyp_id, dp_id, f, w): the entities and words of each cell's data point, hashed, and what a shared one counts."""
-    rows = ev.select("hyp_id", "dp_id", F.explode(F.concat(F.transform("ents", lambda e: F.struct(F.concat(F.lit("e"), e).alias("f"), F.lit(10).alias("w"))), F.transform("toks", lambda t: F.struct(F.concat(F.lit("t"), t).alias("f"), F.lit(1).alias("w"))))).alias("x"))
-    return rows.select("hyp_id", "dp_id", F.xxhash64("x.f").alias("f"), "x.w")
-
-
-def shortlists(frontier: DataFrame, ev: DataFrame, limit: int, features: DataFrame | None = None) -> DataFrame:
+def shortlists(frontier: DataFrame, ev: DataFrame, limit: int) -> DataFrame:
     """(hyp_id, seed, cand, rank): data points by ten times shared entities plus shared words with the set, above zero.
 
-    An inverted index: the set's entities and words are joined with those of the pool of the same hypothesis.
+    A set meets the cells of its hypothesis once: a hypothesis has a few sets, so the join has a few rows a cell.
     """
-    features = features_of(ev) if features is None else features
-    inside = frontier.select("hyp_id", "seed", F.explode("members").alias("dp_id"))
-    wanted = inside.join(features, ["hyp_id", "dp_id"]).select("hyp_id", "seed", "f").dropDuplicates()
-    hits = wanted.join(features, ["hyp_id", "f"]).groupBy("hyp_id", "seed", "dp_id").agg(F.sum("w").alias("score"))
-    others = hits.join(inside, ["hyp_id", "seed", "dp_id"], "left_anti")
-    first = first_k(others, ["hyp_id", "seed"], [F.desc("score"), F.asc("dp_id")], limit)
+    inside = frontier.select("hyp_id", "seed", "members", F.explode("members").alias("dp_id")).join(ev.select("hyp_id", "dp_id", "ents", "toks"), ["hyp_id", "dp_id"])
+    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))  # noqa: E731 - of the members of one set
+    sets = inside.groupBy("hyp_id", "seed").agg(F.first("members").alias("members"), union("ents").alias("_ents"), union("toks").alias("_toks"))
+    score = 10 * F.size(F.array_intersect("ents", "_ents")) + F.size(F.array_intersect("toks", "_toks"))
+    scored = ev.select("hyp_id", "dp_id", "ents", "toks").join(sets, "hyp_id").where(~F.array_contains("members", F.col("dp_id"))).select("hyp_id", "seed", "dp_id", score.cast("long").alias("score")).where("score > 0")
+    first = first_k(scored, ["hyp_id", "seed"], [F.desc("score"), F.asc("dp_id")], limit)
     return first.select("hyp_id", "seed", F.col("dp_id").alias("cand"), "rank", "score")
 
 
@@ -81,11 +76,10 @@ def _trials(rows: DataFrame) -> DataFrame:
 def grown(ev: DataFrame, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """Frontier rows that came below the threshold (hyp_id, seed, members, lift), and the joint lifts judged (hyp_id, seed, calls)."""
     frontier = cut(seeds(ev, settings).select("hyp_id", "seed", F.array("dp_id").alias("members"), "lift"))
-    features = stored(features_of(ev))
     done: DataFrame | None = None
     calls: DataFrame | None = None
     for _ in range(settings.set_size - 1):
-        listed = shortlists(frontier, ev, settings.shortlist, features).join(frontier, ["hyp_id", "seed"])
+        listed = shortlists(frontier, ev, settings.shortlist).join(frontier, ["hyp_id", "seed"])
         trials = listed.select("hyp_id", "seed", "rank", "lift", F.concat("members", F.array("cand")).alias("members"))
         judged = joint_lifts(_trials(trials), ev)
         better = F.when(F.col("joint_lift") < F.col("lift"), F.struct("joint_lift", "rank", "members"))
