@@ -29,7 +29,7 @@ def squeezed(text: Column | str) -> Column:
 
 def simple_sentences(text: Column | str) -> Column:
     """Pieces between a closing mark, white space and a capital or digit; blank pieces dropped."""
-    parts = F.split(squeezed(text), r"(?<=[.!?])\s+(?=[A-Z0-9])")
+    parts = F.split(squeezed(text), S.SENTENCE_END)
     return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: F.length(s) > 0)
 
 
@@ -51,18 +51,18 @@ def _tokens(text: Column, pattern: str, stop: tuple[str, ...]) -> Column:
 
 
 def oracle_tokens(text: Column | str) -> Column:
-    return _tokens(col_of(text), "[a-z0-9]+", S.ORACLE_STOP)
+    return _tokens(col_of(text), S.ORACLE_WORD, S.ORACLE_STOP)
 
 
 def screen_tokens(text: Column | str) -> Column:
-    return _tokens(col_of(text), "[a-z0-9][a-z0-9'-]+", S.SCREEN_STOP)
+    return _tokens(col_of(text), S.SCREEN_WORD, S.SCREEN_STOP)
 
 
 def entities(text: Column | str, meta: Column | str | None = None, keys: tuple[str, ...] = S.DEFAULTS.entity_keys) -> Column:
     """Capitalised words, dates and figures, and the values of some ``meta`` keys, in lower case."""
     t = col_of(text)
-    words = F.regexp_extract_all(t, F.lit(r"\b[A-Z][a-zA-Z-]{2,}\b"), F.lit(0))
-    figures = F.regexp_extract_all(t, F.lit(r"\b\d{4}-\d{2}-\d{2}\b|\b\d+(?:[.,]\d+)?%?\b"), F.lit(0))
+    words = F.regexp_extract_all(t, F.lit(S.NAME), F.lit(0))
+    figures = F.regexp_extract_all(t, F.lit(S.FIGURE), F.lit(0))
     found = F.concat(words, figures)
     if meta is not None:
         values = F.array(*[F.get_json_object(col_of(meta), f"$.{k}") for k in keys])
@@ -125,11 +125,14 @@ def labelled_field(text: Column | str, label: str) -> Column:
 
 def prompt_kind(prompt: Column | str) -> Column:
     """Which question a free prompt asks, by the phrases that mark it, the first in this order; typed calls of an oracle do not need it."""
-    p, low = col_of(prompt), F.lower(col_of(prompt))
-    split = F.contains(p, F.lit("Split the passage")) | F.contains(p, F.lit("atomic")) & F.contains(p, F.lit("propositions"))
-    out = F.when(split, "atomize").when(F.contains(p, F.lit("Propose ONE single hypothesis")), "abduce").when(F.contains(p, F.lit("taken TOGETHER as a single combined fact")), "joint_lift")
-    out = out.when(F.contains(low, F.lit("base rate")) | F.contains(low, F.lit("randomly chosen")), "prior").when(F.contains(low, F.lit("topically related")), "relatedness")
-    return out.when(F.contains(low, F.lit("change")) & F.contains(low, F.lit("scenario")), "lift").otherwise("unknown")
+    kinds = []
+    for among, phrases in ((col_of(prompt), S.PROMPT_PHRASES), (F.lower(col_of(prompt)), S.ANY_CASE_PHRASES)):
+        for kind, groups in phrases:
+            has = F.lit(False)
+            for group in groups:
+                has = has | F.forall(F.array(*[F.lit(x) for x in group]), lambda x, among=among: F.contains(among, x))
+            kinds.append(F.when(has, kind))
+    return F.coalesce(*kinds, F.lit("unknown"))
 
 
 def source_of(meta: Column | str, doc_id: Column | str) -> Column:

@@ -14,7 +14,7 @@ from tessera.functions import text
 from tessera.functions.vectors import hash_matrix
 from tessera.operators import dense, density
 from tessera.operators.ranking import first_k, ranked
-from tessera.plans.settings import DEFAULTS, Settings
+from tessera.plans.settings import DEFAULTS, PROPOSAL, Settings
 from tessera.plans.shared import stored
 
 
@@ -88,7 +88,7 @@ def top_terms(rows: DataFrame, keys: list[str], k: int = 4) -> DataFrame:
 
 def abduced(terms: DataFrame) -> DataFrame:
     """The lexical oracle's proposal for a cluster's terms."""
-    return terms.withColumn("hypothesis", F.concat(F.lit("A common underlying factor involving "), F.col("terms"), F.lit(" explains these observations.")))
+    return terms.withColumn("hypothesis", F.concat(F.lit(PROPOSAL[0]), F.col("terms"), F.lit(PROPOSAL[1])))
 
 
 def verified(members: DataFrame, keys: list[str], settings: Settings = DEFAULTS) -> DataFrame:

@@ -404,5 +404,5 @@ QUERIES = {
     )},
     "oracle_tokens": _tokens("tokens", lambda: text.oracle_tokens("text")),
     "screen_tokens": _tokens("tokens", lambda: text.screen_tokens("text")),
-    "figures": _tokens("figures", lambda: F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b\d{4}-\d{2}-\d{2}\b|\b\d+(?:[.,]\d+)?%?\b"), F.lit(0)))),
+    "figures": _tokens("figures", lambda: F.array_distinct(F.regexp_extract_all("text", F.lit(S.FIGURE), F.lit(0)))),
 }

@@ -88,7 +88,7 @@ def _entities(col: str, meta: str) -> str:
     return f"list_distinct(list_transform(list_concat({found}, list_filter({values}, lambda v: v is not null and v <> '')), lambda x: lower(x)))"
 
 
-_FIGURE = r"\b\d{4}-\d{2}-\d{2}\b|\b\d+(?:[.,]\d+)?%?\b"
+_FIGURE = S.FIGURE
 _EVIDENCE = f"""ev as (select c.hyp_id, c.dp_id, c.lift, {_cues("p.text", S.NEGATIVE_CUES)}::int neg, (len(list_intersect({_toks("h.text")}, {_toks("p.text")})) > 0)::int pos,
     case when {_cues("p.text", S.RARE_CUES)} then 0.08 when len({_toks("p.text")}) > 25 then 0.3 else 0.5 end prior, {_entities("p.text", "p.meta")} ents, {_toks("p.text", _SCREEN_WORD, _SCREEN)} toks
     from (select hyp_id, dp_id, min(lift) lift from cells group by all) c join hypotheses h using (hyp_id) join points p using (dp_id) where p.text is not null),

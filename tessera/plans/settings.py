@@ -16,8 +16,27 @@ VERDICTS = (("strongly_contradicts", None), ("contradicts", -1.0), ("neutral", -
 #: Words that the lexical oracle and the structural screen pass over.
 ORACLE_STOP = tuple("the a an of to and or is are was were in on at for with by from this that it its as be been being their his her they he she we you i".split())
 SCREEN_STOP = (*ORACLE_STOP, "not", "no")
+#: Phrases that make the lexical oracle take a statement as negative, or as rare.
 NEGATIVE_CUES = ("no ", "not ", "without", "within specification", "no signal", "no abnormalities", "within normal", "denied", "ruled out", "no faults", "stable", "unchanged")
 RARE_CUES = ("only", "exactly", "precisely", "23-minute", "14x", "420%", "34 of 96")
+#: The lexical oracle's proposal, around the commonest words of a cluster.
+PROPOSAL = ("A common underlying factor involving ", " explains these observations.")
+#: Fixed value: what marks a near copy of an episode.
+DUPLICATE_MARK = " (duplicate record from a second system)."
+#: Patterns of sentence ends, of the words of the oracle and of the screen, and of entities.
+SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z0-9])"
+ORACLE_WORD = "[a-z0-9]+"
+SCREEN_WORD = "[a-z0-9][a-z0-9'-]+"
+NAME = r"\b[A-Z][a-zA-Z-]{2,}\b"
+FIGURE = r"\b\d{4}-\d{2}-\d{2}\b|\b\d+(?:[.,]\d+)?%?\b"
+#: What a free prompt asks, and the phrases one group of which it has all of; the first kind in this order.
+PROMPT_PHRASES = (
+    ("atomize", (("Split the passage",), ("atomic", "propositions"))),
+    ("abduce", (("Propose ONE single hypothesis",),)),
+    ("joint_lift", (("taken TOGETHER as a single combined fact",),)),
+)
+#: The same for phrases in any case.
+ANY_CASE_PHRASES = (("prior", (("base rate",), ("randomly chosen",))), ("relatedness", (("topically related",),)), ("lift", (("change", "scenario"),)))
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -40,6 +41,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_owned: set[str] = set()
+
+
+def _removed(spark: SparkSession, folder: str) -> None:
+    """Remove an application's folder when it ends; what a killed one leaves can be told by its name."""
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001, S110 - the gateway may be gone first
+        pass
+
+
 def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """``df`` written once as parquet in the shared folder and read again.
 
@@ -47,7 +60,11 @@ def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     # one folder an application: what a dead one leaves behind can be told from what a live one reads
-    path = f"{shared_dir(spark).rstrip('/')}/tessera-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    own = f"{shared_dir(spark).rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
+    if own not in _owned:
+        _owned.add(own)
+        atexit.register(_removed, spark, own)
+    path = f"{own}/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

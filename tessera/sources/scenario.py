@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import stripped
+from tessera.plans.settings import DUPLICATE_MARK
 
 EPISODES = "scenario string, pos int, text string, credibility double, source_type string, meta string"
 CLAIMS = "scenario string, pos int, text string, context_summary string, surviving boolean, eliminated boolean, expected_verdict string"
 CASES = "case_id string, capability string, control boolean, adversarial string, domain string, hypothesis string, given_hypotheses array<string>, refuting_sets array<array<string>>, cluster_members array<string>, missing_hypothesis string"
 CASE_POINTS = "case_id string, dp string, text string, role string"
 OFF_TOPIC_CREDIBILITY = 0.3
-DUPLICATE_MARK = " (duplicate record from a second system)."
 
 
 def _yaml(path: Path) -> object:
