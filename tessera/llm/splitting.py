@@ -136,7 +136,7 @@ def p4_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.sequence(F.lit(1), F.size("s") - 1)
     real = F.greatest(F.lit(0), F.least(F.col("asked"), F.floor(F.col("cap") / 2)))
     overlaps = F.forall(at, lambda i: F.get("e", i - 1) - F.get("s", i) == real)
-    return rows.select("tbl", "item_id", F.get("s", F.lit(0)).alias("first_char"), F.get("e", F.size("e") - 1).alias("end_char"), ((F.col("most") <= F.col("cap")) & (F.col("least") > 0)).alias("within_limit"), overlaps.alias("overlaps"), "texts")
+    return rows.select("tbl", "item_id", F.get("s", F.lit(0)).alias("first_char"), F.get("e", F.size("e") - 1).alias("end_char"), ((F.col("most") <= F.col("cap")) & (F.col("least") > 0)).alias("within_limit"), overlaps.alias("overlaps_held"), "texts")
 
 
 QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p4_cover": p4_cover}
@@ -146,7 +146,7 @@ SQL = {
                          union all select 'chunks', chunk_id, text from chunks) i
                    join (select tbl, min(max_chars) max_chars from size_limits group by 1) l using (tbl)
                    where length(i.text) > l.max_chars and i.item_id is not null""",
-    "p4_cover": """select distinct i.tbl, i.item_id, 0 first_char, length(i.text) end_char, true within_limit, true overlaps, true texts
+    "p4_cover": """select distinct i.tbl, i.item_id, 0 first_char, length(i.text) end_char, true within_limit, true overlaps_held, true texts
                    from (select 'documents' tbl, cast(doc_id as varchar) item_id, text from documents
                          union all select 'chunks', chunk_id, text from chunks) i
                    join (select tbl, min(max_chars) max_chars from size_limits group by 1) l using (tbl)
