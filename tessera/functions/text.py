@@ -130,7 +130,10 @@ def prompt_kind(prompt: Column | str) -> Column:
         for kind, groups in phrases:
             has = F.lit(False)
             for group in groups:
-                has = has | F.forall(F.array(*[F.lit(x) for x in group]), lambda x, among=among: F.contains(among, x))
+                every = F.lit(True)
+                for phrase in group:
+                    every = every & F.contains(among, F.lit(phrase))
+                has = has | every
             kinds.append(F.when(has, kind))
     return F.coalesce(*kinds, F.lit("unknown"))
 
