@@ -46,6 +46,7 @@ _ALSO_WORDS = frozenset("me art par cap rep sec est ing res ed ch pr gen mill ex
 LOOSE = frozenset("inc ltd co corp llc plc bros jr sr. etc usw al a.m p.m am pm h min sek hrs hr. kg km cm град млн млрд тыс руб ч мин сек г гг кг км др пр".split())
 _MONTHS_DE = frozenset("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
 _DATED = frozenset("am vom bis zum dem den der seit".split())
+_BINDING_OR_WORDS, _DATED_OR_MONTHS = BINDING | _ALSO_WORDS, _DATED | _MONTHS_DE
 _OPENERS = frozenset("the a an it he she they we you i in on at this that these those there but and or if when what who how was is".split())
 
 #: Closed classes of the spaceless scripts: particles and endings that close a sentence, words that open one, words that lead on from a
@@ -163,7 +164,7 @@ _SPACELESS = re.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-鿿]")
 _TOKEN = re.compile(r"[.!?…]+|[。！？｡।॥؟۔။។៕]+[.!?…]*|[“”„«»‹›「」『』()（）\[\]\"]")
 _GAP = re.compile(r"(\S*)(\s+)(?=(\S+))")
 _MIXED = re.compile(r"[a-z]{1,2}[A-Z]")
-_BEFORE = re.compile(r"[^\s“”„«»(\[（「『\"]+$")
+_TOKEN_EDGES = frozenset("“”„«»([（「『\"")
 _LAST_RUN = re.compile(r"(?:[^\W\d_]|[̀-़ͯ-्])+$|\d+$")
 _WORD = re.compile(r"[^\W\d_]+")
 _CLAUSE = re.compile(r"[^。！？.!?“「『\n]{0,48}")
@@ -274,13 +275,18 @@ def _opens(text: str, n: int) -> bool:
 def _after_point(text: str, start: int, p: int, b: int, n: int) -> bool:
     """Whether the single point at ``p`` (its node ending at ``b``, the next word at ``n``) ends a sentence."""
     nxt = text[n]
-    found = _BEFORE.search(text, max(start, p - 40), p)
-    token = found.group() if found else ""
-    run = _LAST_RUN.search(token)
-    last = run.group() if run else ""
+    at, far = p, max(start, p - 40)
+    while at > far and (c := text[at - 1]) not in _TOKEN_EDGES and not c.isspace():
+        at -= 1
+    token = text[at:p]
+    if token.isalpha():
+        last = token
+    else:
+        run = _LAST_RUN.search(token)
+        last = run.group() if run else ""
     if b == n:  # nothing between
         if nxt.isdigit():
-            return len(last) >= 3 and last.isalpha() and last.islower() and last not in BINDING | _ALSO_WORDS and "." not in token and bool(re.match(r"\d+\s", text[n : n + 12]))
+            return len(last) >= 3 and last.isalpha() and last.islower() and last not in _BINDING_OR_WORDS and "." not in token and bool(re.match(r"\d+\s", text[n : n + 12]))
         if nxt.islower():
             return len(last) >= 3 and last.isalpha() and "_" not in token and bool(_MIXED.match(text, n))
         if nxt.isupper():
@@ -290,7 +296,7 @@ def _after_point(text: str, start: int, p: int, b: int, n: int) -> bool:
         return _opens(text, n) and last.lower() not in BINDING
     if not _opens(text, n):
         return False
-    key = re.split(r"['’]", token)[-1].lower()
+    key = (re.split(r"['’]", token)[-1] if "'" in token or "’" in token else token).lower()
     if not key:
         return True
     if key == "no" or key == "nº":
@@ -301,7 +307,7 @@ def _after_point(text: str, start: int, p: int, b: int, n: int) -> bool:
         return False
     if key in LOOSE:
         return not nxt.islower()
-    if re.fullmatch(r"[^\W\d_](?:\.[^\W\d_])+", key):  # letters with points
+    if "." in key and re.fullmatch(r"[^\W\d_](?:\.[^\W\d_])+", key):  # letters with points
         w = _WORD.match(text, n)
         return bool(w) and w.group().lower() in _OPENERS
     if len(key) == 1 and key.isalpha():
@@ -314,7 +320,7 @@ def _after_point(text: str, start: int, p: int, b: int, n: int) -> bool:
             if w and w.group().lower() in _MONTHS_DE:
                 return False
             before = text[max(start, p - 24) : p - len(key)].split()
-            if nxt.isdigit() and before and before[-1].lower() in _DATED | _MONTHS_DE:
+            if nxt.isdigit() and before and before[-1].lower() in _DATED_OR_MONTHS:
                 return False
     return True
 
@@ -334,12 +340,14 @@ def _split(text: str, s: int, e: int, out: list[Span], lexicon: Lexicon) -> None
     thai = bool(_THAI.search(text, s, e))
     nodes: list[tuple[int, int, str, int]] = []  # candidates: (mark's start, end, mark, its arc)
     for m in tokens:
-        if m.group()[0] not in _STOPS:
+        p = m.start()
+        if text[p] not in _STOPS:
             continue
-        k = bisect_right(opens, m.start()) - 1
-        if k >= 0 and arcs[k][1] > m.start():
-            continue
-        nodes.append((m.start(), m.end(), m.group(), -1))
+        if arcs:
+            k = bisect_right(opens, p) - 1
+            if k >= 0 and arcs[k][1] > p:
+                continue
+        nodes.append((p, m.end(), m.group(), -1))
     for a, c in arcs:
         i = c - 1
         while i > a and (text[i].isspace() or text[i] in _CLOSERS):
