@@ -330,3 +330,13 @@ def test_an_edited_text_of_common_runs_meets_the_others(spark, monkeypatch):
     want = {(str(i), str(j)) for i in range(4) for j in range(i + 1, 4) if near_dups.similarity(near_dups.letters(texts[i]), near_dups.letters(texts[j])) >= near_dups.SIMILARITY}
     got = {(a, b) for a, b in pairs_of(spark, rows) if not a.startswith("x") and not b.startswith("x")}
     assert got == want
+
+
+def test_near_duplicates_in_rounds_are_those_of_one(spark, monkeypatch):
+    texts = fixture()
+    rows = list(zip(["t"] * len(texts), [f"{i:04}" for i in range(len(texts))], texts, strict=True))
+    want = pairs_of(spark, rows)
+    monkeypatch.setattr(near_dups, "ROUND_TEXTS", len({near_dups.letters(t) for t in texts}) // 2)
+    monkeypatch.setattr(near_dups, "PAIRS_A_TEXT", 1)
+    assert len(near_dups._rounds(len(texts))) > 1 and sorted(sum(near_dups._rounds(10**9), [])) == list(range(near_dups.BANDS))
+    assert pairs_of(spark, rows) == want

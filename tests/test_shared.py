@@ -16,6 +16,19 @@ def test_shared_folder_is_the_configured_one(spark):
     assert shared.cut(df).count() == 10 and shared.stored(df.limit(0)).count() == 0
 
 
+def test_a_stored_table_leaves_nothing_that_was_shuffled_and_can_be_discarded(spark):
+    import os
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before = shuffled()
+    once = shared.stored(spark.range(1_000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert not shuffled() - before and once.count() == 7
+    folder = os.path.dirname(once.inputFiles()[0].removeprefix("file://"))
+    shared.discard(once)
+    assert folder and not os.path.exists(folder)
+
+
 def test_spread_deals_out_few_partitions_only(spark):
     least = 4 * spark.sparkContext.defaultParallelism
     assert shared.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == least
