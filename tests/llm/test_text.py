@@ -3,6 +3,7 @@
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,3 +253,17 @@ def test_scores_take_odd_input(spark):
     assert abuse.scored(docs.limit(0), labels).count() == 0
 
 
+
+
+def test_answer_models_count_all_rows(spark):
+    docs = spark.range(5_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the pump of hall "), F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    hyps = spark.createDataFrame([("h", "The seal failed.", "en")], "hyp_id string, text string, lang string")
+    told = ["It fits the log at 7 pm", "it fits the log", '{"why": "die Halle war leer"}', "Sí", "", "a b ", "屏幕过了5分钟", "x" * 60, "It fits the log."]
+    lift = spark.createDataFrame([("h", f"d{i}", "m", t) for i, t in enumerate(told * 7)], "hyp_id string, dp_id string, model string, rationale string")
+    judge = answers.fit(lift, hyps, docs)
+    assert dict(zip(judge.languages.languages, judge.languages.rows, strict=True)) == {"en": 5_001 + 7 * len(told)}
+    inner = [answers.rationale_of(t)[0] for t in told * 7]
+    by_text = answers.EndModel([t for t in inner if t])
+    assert all(judge.ends.likelihood(t) == by_text.likelihood(t) for t in map(answers._open_end, inner) if t)
+    want = sum(np.bincount(answers._gram_buckets(answers._plain(t)), minlength=answers._BUCKETS) for t in told)
+    assert (answers._gram_counts([answers._plain(t) for t in told]) == want).all()
