@@ -483,3 +483,72 @@ def test_density_clusters_span_all_vectors(spark, tmp_path):
     sizes = Counter(dense.hdbscan(v.astype(np.float32).astype(float), 3).tolist())
     got = eval_queries.density_clusters(spark, str(tmp_path)).collect()
     assert sorted(r["size"] for r in got) == sorted(sizes.values())
+
+
+def _tree_over_blocks(v, blocks, k, monkeypatch):
+    """(weights of the lightest tree, share of pairs compared, parts between which edges were sought) by the steps of ``density.labelled``."""
+    near, seen = 2 * k, [0]
+    found = density._near
+
+    def counted(*args):
+        for rows, leaf, d in found(*args):
+            seen[0] += d.size
+            yield rows, leaf, d
+
+    monkeypatch.setattr(density, "_near", counted)
+    at = density.placed(v, density.plan(v, blocks), np.array([f"{i:08x}" for i in range(len(v))]))
+    ids = [np.flatnonzero(at == b) for b in range(blocks) if (at == b).any()]
+    ids = [i[density._ordered(v[i].astype(np.float32))] for i in ids]
+    own, lists, radii = [density._Block(v[i]) for i in ids], [[] for _ in ids], []
+    for x, b in enumerate(own):
+        first = density._first_radius(b, near)
+        i, j, d = density._neighbours(b, b, True, first, first)
+        i, j, d = np.r_[i, j], np.r_[j, i], np.r_[d, d]
+        radii.append(density._radius(len(b.x), i, d, near))
+        lists[x].append((i, ids[x][j], d))
+    for x in range(len(own)):
+        for y in range(x + 1, len(own)):
+            i, j, d = density._neighbours(own[x], own[y], False, *((r * r).astype(np.float32) for r in (radii[x], radii[y])))
+            lists[x].append((i, ids[y][j], d))
+            lists[y].append((j, ids[x][i], d))
+    core, radius, a, b, d = np.zeros(len(v)), np.zeros(len(v)), [], [], []
+    for x, own_lists in enumerate(lists):
+        i, o, w = (np.concatenate(c) for c in zip(*own_lists, strict=True))
+        radius[ids[x]] = r = density._radius(len(ids[x]), i, w, near)
+        core[ids[x]] = density._core(np.ones(len(ids[x]), int), i, w, np.ones(len(i), int), k)
+        a, b, d = a + [ids[x][i[w <= r[i]]]], b + [o[w <= r[i]]], d + [w[w <= r[i]]]
+    a, b, d = (np.concatenate(c) for c in (a, b, d))
+    w = np.maximum(d, np.maximum(core[a], core[b]))
+    e = density.forest_of(np.minimum(a, b), np.maximum(a, b), w)
+    a, b, w = np.minimum(a, b)[e], np.maximum(a, b)[e], w[e]
+    _, part, limits = density.parted(len(v), a, b, w, radius)
+    edges = [(a, b, w)]
+    ids = [i[np.argsort(part[i], kind="stable")] for i in ids]
+    own = [density._Block(v[i]) for i in ids]
+    for x in range(len(own)):
+        for y in range(x, len(own)):
+            i, j, s = density._between(own[x], own[y], x == y, (part[ids[x]], part[ids[y]]), (core[ids[x]], core[ids[y]]), limits)
+            edges.append((ids[x][i], ids[y][j], s))
+    a, b, w = (np.concatenate(c) for c in zip(*edges, strict=True))
+    return w[density.forest_of(a, b, w)], seen[0] / len(v) ** 2, len(np.unique(part))
+
+
+def test_the_lightest_tree_of_all_pairs_comes_from_few_of_them(monkeypatch):
+    rng = np.random.default_rng(21)
+    words = rng.dirichlet(np.full(256, 0.05), 40)
+    counts = np.stack([rng.multinomial(9, words[i % 40]) + rng.multinomial(4, np.full(256, 1 / 256)) for i in range(2_000)]).astype(float)
+    v = np.unique(counts / np.linalg.norm(counts, axis=1, keepdims=True), axis=0)
+    d = np.sqrt(np.maximum(2 - 2 * v @ v.T, 0))
+    np.fill_diagonal(d, 0)
+    core = np.sort(d, axis=1)[:, 2]
+    reach = np.maximum(d, np.maximum(core[:, None], core[None]))
+    near, inside, at, whole = np.full(len(v), np.inf), np.zeros(len(v), bool), 0, []
+    for _ in range(len(v) - 1):
+        inside[at] = True
+        near = np.minimum(near, reach[at])
+        at = int(np.where(inside, np.inf, near).argmin())
+        whole.append(near[at])
+    w, share, parts = _tree_over_blocks(v, 5, 3, monkeypatch)
+    assert parts > 1 and share < 0.25 and len(w) == len(whole) and np.allclose(np.sort(w), np.sort(whole), atol=1e-7)
+    monkeypatch.setattr(density, "PARTS", 1)
+    assert np.allclose(np.sort(_tree_over_blocks(v, 5, 3, monkeypatch)[0]), np.sort(whole), atol=1e-7)
