@@ -26,7 +26,7 @@ from tessera.plans.shared import discard, stored
 #: Vectors in a block, at least and at most as planned; smaller groups have about so many blocks.
 TILE, MOST, SPREAD = 2_000, 20_000, 12
 #: Vectors under one bound, and bounds taken at once.
-LEAF, BOUNDS = 8, 64
+LEAF, BOUNDS = 8, 32
 #: Vectors that the blocks of a group are planned on; where a vector lies changes the work and no result.
 PLANNED = 8_000
 #: Parts between which a matrix has the limits; for more there is one limit.
@@ -113,21 +113,23 @@ class _Block:
     def __init__(self, v: np.ndarray) -> None:
         self.v, self.x, self.sq = v, v.astype(np.float32), (v * v).sum(axis=1).astype(np.float32)
         self.at = np.arange(0, len(v), LEAF)
-        self.top, self.least, self.most = np.maximum.reduceat(self.x, self.at), np.minimum.reduceat(self.sq, self.at), float(self.sq.max())
-        self.low = np.minimum.reduceat(self.x, self.at)
-        self.up, self.down = (self.x, None) if self.x.min() >= 0 else (np.maximum(self.x, 0), np.maximum(-self.x, 0))
+        self.top, self.low = np.maximum.reduceat(self.x, self.at), np.minimum.reduceat(self.x, self.at)
+        self.least, self.most = np.minimum.reduceat(self.sq, self.at), float(self.sq.max())
 
 
 def _near(p: _Block, q: _Block, same: bool, limit: Callable[[slice], np.ndarray]) -> Iterator[tuple[np.ndarray, slice, np.ndarray]]:
     """(rows of ``p``, a leaf of ``q``, their squared distances): all rows that have a squared distance within ``limit`` of the leaf; of a block with itself the rows up to the leaf."""
     slack = np.float32(SLACK * (p.most + q.most))
+    # the product of both sides is the least squared distance, less the squared length in the leaf
+    side, bound = [-2 * np.maximum(p.x, 0), p.sq[:, None]], [q.top, np.ones((len(q.at), 1), np.float32)]
+    if p.x.min() < 0:
+        side.append(2 * np.maximum(-p.x, 0))
+        bound.append(q.low)
+    rows_of, leaves = np.concatenate(side, axis=1), np.concatenate(bound, axis=1)
+    del side, bound
     for g in range(0, len(q.at), BOUNDS):
         n = min(len(p.x), (g + BOUNDS) * LEAF) if same else len(p.x)
-        u = q.top[g : g + BOUNDS] @ p.up[:n].T
-        if p.down is not None:
-            u -= q.low[g : g + BOUNDS] @ p.down[:n].T
-        u *= -2
-        u += p.sq[:n]
+        u = leaves[g : g + BOUNDS] @ rows_of[:n].T
         for r in range(len(u)):
             leaf = slice(int(q.at[g + r]), min(int(q.at[g + r]) + LEAF, len(q.x)))
             most = limit(leaf)[:n] + slack
@@ -243,6 +245,15 @@ def parted(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, radius: np.ndarr
 def _between(p: _Block, q: _Block, same: bool, parts: tuple[np.ndarray, np.ndarray], cores: tuple[np.ndarray, np.ndarray], limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of ``p``, row of ``q``, weight): the lightest edge between each two parts that is below their limit. Rows are in the order of parts."""
     (pp, qp), one = parts, len(limits) == 1
+    # an edge is no shorter than the core distances of its ends
+    kept = []
+    for mine, others, core in ((pp, qp, cores[0]), (qp, pp, cores[1])):
+        most = np.full(len(mine), limits[0, 0]) if one else limits[:, np.unique(others)].max(axis=1)[mine]
+        kept.append(np.flatnonzero(core < most))
+    if not len(kept[0]) or not len(kept[1]):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    p, q = (_Block(x.v[k]) for x, k in ((p, kept[0]), (q, kept[1])))
+    pp, qp, cores = pp[kept[0]], qp[kept[1]], (cores[0][kept[0]], cores[1][kept[1]])
     top, limits = np.float32(limits.max()), limits.copy()
     c2p, c2q = (c.astype(np.float32) ** 2 for c in cores)
     slack = np.float32(SLACK * (p.most + q.most))
@@ -252,7 +263,9 @@ def _between(p: _Block, q: _Block, same: bool, parts: tuple[np.ndarray, np.ndarr
         if one:
             return np.where((pp == qp[leaf.start]) & (qp[leaf.start] == qp[leaf.stop - 1]), np.float32(-np.inf), top * top)
         few = limits[:, qp[leaf.start]] if qp[leaf.start] == qp[leaf.stop - 1] else limits[:, qp[leaf]].max(axis=1)
-        return np.where(few > 0, few * few, -np.inf).astype(np.float32)[pp]
+        most = np.where(few > 0, few * few, -np.inf).astype(np.float32)[pp]
+        most[np.maximum(c2p, c2q[leaf].min()) > most + slack] = -np.inf
+        return most
 
     for rows, leaf, d in _near(p, q, same, limit):
         for b in np.unique(qp[leaf]).tolist():
@@ -279,7 +292,7 @@ def _between(p: _Block, q: _Block, same: bool, parts: tuple[np.ndarray, np.ndarr
     i, j, w = (np.array(x, dtype=t) for x, t in zip(zip(*out, strict=True) if out else ((), (), ()), (np.int64, np.int64, float), strict=True))
     x, y = pp[i], qp[j]
     k = forest_of(np.minimum(x, y), np.maximum(x, y), w)
-    return i[k], j[k], w[k]
+    return kept[0][i[k]], kept[1][j[k]], w[k]
 
 
 def forest_of(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:

@@ -67,14 +67,18 @@ def clusters(rows: DataFrame, group: str, settings: Settings = DEFAULTS, encode:
             yield pd.DataFrame(out, columns=[group, "cluster", "dp_ids", "s"])
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, s = sorted(x for d in pdf["dp_ids"] for x in d), np.sum([np.asarray(x) for x in pdf["s"]], axis=0)
-        n = len(ids)
-        return pd.DataFrame([(pdf[group].iat[0], ids, n, (float((s * s).sum()) - n) / max(n * (n - 1), 1))], columns=[group, "dp_ids", "size", "coherence"])
+        out = []
+        for _, x in pdf.groupby("cluster"):
+            ids, s = sorted(y for d in x["dp_ids"] for y in d), np.sum([np.asarray(y) for y in x["s"]], axis=0)
+            n = len(ids)
+            out.append((pdf[group].iat[0], ids, n, (float((s * s).sum()) - n) / max(n * (n - 1), 1)))
+        return pd.DataFrame(out, columns=[group, "dp_ids", "size", "coherence"])
 
     codes = density.coded(tagged.where(F.col("_n") > whole_below), group, "dp_id", "text", encode)
     members = density.labelled(codes, group, "dp_id", settings.min_cluster).where("cluster >= 0").select(group, "cluster", "dp_id", "vec")
     parts = members.mapInPandas(sums, f"{group} {kind}, cluster int, dp_ids array<string>, s array<double>")
-    found = parts.groupBy(group, "cluster").applyInPandas(total, f"{group} {kind}, dp_ids array<string>, size int, coherence double")
+    # a call for each cluster would cost more than its sum
+    found = parts.groupBy(group, F.floor(F.col("cluster") / 64).alias("slot")).applyInPandas(total, f"{group} {kind}, dp_ids array<string>, size int, coherence double")
     numbered = ranked(stored(found), [group], [F.desc(F.round("coherence", 9)), F.asc(F.element_at("dp_ids", 1))])
     return small.unionByName(numbered.select(group, (F.col("rank") - 1).cast("int").alias("cluster"), "dp_ids", "size", "coherence"))
 

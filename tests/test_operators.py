@@ -552,3 +552,20 @@ def test_the_lightest_tree_of_all_pairs_comes_from_few_of_them(monkeypatch):
     assert parts > 1 and share < 0.25 and len(w) == len(whole) and np.allclose(np.sort(w), np.sort(whole), atol=1e-7)
     monkeypatch.setattr(density, "PARTS", 1)
     assert np.allclose(np.sort(_tree_over_blocks(v, 5, 3, monkeypatch)[0]), np.sort(whole), atol=1e-7)
+
+
+def test_vectors_too_sparse_for_an_edge_are_not_compared(monkeypatch):
+    rng = np.random.default_rng(22)
+    v = np.concatenate([rng.normal(c, 0.1, (150, 6)) for c in (0, 1.5)] + [rng.uniform(-30, 30, (300, 6))])
+    part, seen, near = np.repeat([0, 1, 2], [150, 150, 300]), [], density._near
+
+    def counted(*args):
+        for rows, leaf, d in near(*args):
+            seen.append(len(args[0].v))
+            yield rows, leaf, d
+
+    monkeypatch.setattr(density, "_near", counted)
+    b, core, limits = density._Block(v), np.where(part == 2, 20.0, 0.2), np.where(np.eye(3) > 0, -1.0, 9.0)
+    i, j, w = density._between(b, b, True, (part, part), (core, core), limits)
+    d = np.sqrt(((v[:150, None] - v[None, 150:300]) ** 2).sum(axis=2))
+    assert set(seen) == {300} and np.allclose(w, d.min()) and {part[i[0]], part[j[0]]} == {0, 1}
