@@ -6,6 +6,10 @@ can matter are compared. A task has a pair of blocks, twice: first for the neare
 the parts that these leave. A part is joined by its lightest known edge where no unknown edge can be lighter; between two
 parts only edges that are lighter than the way between them over known edges are sought. So the lightest spanning tree is that over all
 pairs, and nothing is left out. Its edges, one a vector, are read off in one task.
+
+Vectors that are counts at length one, as those of hashed words, have exact products from whole numbers: a vector's products with all
+of a block are the sum of the block's counts in its few dimensions, and vectors that begin alike share the sums of what they share. So
+blocks of such vectors are compared without bounds.
 """
 
 from __future__ import annotations
@@ -31,6 +35,10 @@ LEAF, BOUNDS = 8, 32
 PLANNED = 8_000
 #: Parts between which a matrix has the limits; for more there is one limit.
 PARTS = 512
+#: Edges between parts that a task holds before it keeps the lightest.
+HELD = 200_000
+#: Steps of a squared distance at which limits of counts are kept, and bytes of them that a task keeps.
+STEPS, KEPT = 16, 32_000_000
 #: What single precision may be off, as a share of the squared lengths.
 SLACK = 1e-5
 
@@ -97,13 +105,16 @@ def _ordered(v: np.ndarray) -> np.ndarray:
 
 
 def _packed(v: np.ndarray) -> bytes:
+    """The rows, counts as bytes and vectors as they are."""
     return zlib.compress(np.packbits(v != 0).tobytes() + v[v != 0].tobytes(), 1)
 
 
 def _unpacked(data: bytes, n: int, dim: int) -> np.ndarray:
     raw, size = zlib.decompress(data), (n * dim + 7) // 8
-    out = np.zeros((n, dim))
-    out[np.unpackbits(np.frombuffer(raw, np.uint8, size), count=n * dim).reshape(n, dim) > 0] = np.frombuffer(raw[size:])
+    held = np.unpackbits(np.frombuffer(raw, np.uint8, size), count=n * dim).reshape(n, dim) > 0
+    kind = np.uint8 if len(raw) - size == held.sum() else float
+    out = np.zeros((n, dim), kind)
+    out[held] = np.frombuffer(raw[size:], kind)
     return out
 
 
@@ -117,6 +128,26 @@ class _Block:
         self.least, self.most = np.minimum.reduceat(self.sq, self.at), float(self.sq.max())
 
 
+class _Counted:
+    """The vectors of a block as counts, in the order of ``_Block``."""
+
+    def __init__(self, counts: np.ndarray) -> None:
+        self.counts, self.lengths = counts, _lengths(counts)
+
+    @property
+    def v(self) -> np.ndarray:
+        return self.counts / np.where(self.lengths > 0, self.lengths, 1.0)[:, None]
+
+
+def _block(rows: np.ndarray) -> _Block | _Counted:
+    return _Counted(rows) if rows.dtype == np.uint8 else _Block(rows)
+
+
+def _alike(p: _Block | _Counted, q: _Block | _Counted) -> tuple:
+    """Both as they are, or as vectors where one has no counts."""
+    return (p, q) if type(p) is type(q) else tuple(_Block(x.v) if isinstance(x, _Counted) else x for x in (p, q))
+
+
 def _near(p: _Block, q: _Block, same: bool, limit: Callable[[slice], np.ndarray]) -> Iterator[tuple[np.ndarray, slice, np.ndarray]]:
     """(rows of ``p``, a leaf of ``q``, their squared distances): all rows that have a squared distance within ``limit`` of the leaf; of a block with itself the rows up to the leaf."""
     slack = np.float32(SLACK * (p.most + q.most))
@@ -141,6 +172,156 @@ def _near(p: _Block, q: _Block, same: bool, limit: Callable[[slice], np.ndarray]
                     yield rows[near], leaf, d[near]
 
 
+def _counts(v: np.ndarray) -> np.ndarray | None:
+    """The whole numbers of which each row is the multiple at length one; None where a row is none, or has larger ones than a byte holds."""
+    if not len(v) or v.min() < 0:
+        return None
+    ratio = v / np.where(v > 0, v, np.inf).min(axis=1, initial=1.0)[:, None]
+    out, left = np.zeros(v.shape, np.uint8), np.arange(len(v))
+    for m in range(1, 9):
+        c = np.rint(ratio[left] * m)
+        whole = (np.abs(c - ratio[left] * m).max(axis=1) < 1e-7) & (c.max(axis=1) < 256)
+        out[left[whole]] = c[whole]
+        left = left[~whole]
+        if not len(left):
+            norm = _lengths(out)
+            return out if np.abs(out / np.where(norm > 0, norm, 1.0)[:, None] - v).max() < 1e-9 else None
+    return None
+
+
+def _lengths(c: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", c, c, dtype=np.int64).astype(float))
+
+
+def _products(p: np.ndarray, q: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(row of ``q``, its products with all rows of ``p``) for rows of counts; the products hold until the next."""
+    kind = np.uint8 if _lengths(p).max() * _lengths(q).max() < 255 else np.uint16 if _lengths(p).max() * _lengths(q).max() < 65_535 else np.int64
+    # common dimensions come first, so that like rows share sums
+    place = np.argsort(-(q > 0).sum(axis=0), kind="stable")
+    planes = list(np.ascontiguousarray(p[:, place].T).astype(kind, copy=False))
+    rows, at = np.nonzero(q[:, place])
+    times = q[rows, place[at]]
+    rows, at = np.repeat(rows, times), np.repeat(at, times)
+    n = np.bincount(rows, minlength=len(q))
+    words = np.full((len(q), int(n.max()) + 1), -1, np.int16)
+    words[rows, np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)] = at
+    order = np.lexsort(words.T[::-1])
+    words, n = words[order], n[order].tolist()
+    shared = [0, *np.argmax(words[1:] != words[:-1], axis=1).tolist()]
+    # rows with the same counts share all
+    alike = np.r_[False, (words[1:] == words[:-1]).all(axis=1)]
+    sums, add = [np.zeros(len(p), kind)] + [np.empty(len(p), kind) for _ in range(words.shape[1])], np.add
+    for j, m, k, same, own in zip(order.tolist(), shared, n, alike.tolist(), words.tolist(), strict=True):
+        if not same:
+            for x in range(m, k):
+                add(sums[x], planes[own[x]], sums[x + 1])
+        yield j, sums[k]
+
+
+def _least(need: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """The least whole products that may reach ``need``."""
+    return np.clip(np.ceil(need - 1e-6), 0, np.iinfo(kind).max).astype(kind)
+
+
+def _needed(lengths: np.ndarray, length: float, most: np.ndarray | float) -> np.ndarray:
+    """The product from which vectors of two lengths as counts are within the squared distance ``most``; at length one they have 1, without words 0."""
+    # no squared distance is above 2, and an infinite one has no product with 0
+    return ((lengths > 0) + float(length > 0) - np.minimum(most, 8.0)) / 2 * lengths * length if length > 0 else np.zeros(len(lengths))
+
+
+def _places(hit: np.ndarray) -> np.ndarray:
+    """``flatnonzero`` of a few of many, by 64 at a time."""
+    if len(hit) % 64:
+        return np.flatnonzero(hit)
+    some = np.flatnonzero(np.packbits(hit).view(np.uint64))
+    at, place = np.nonzero(hit.reshape(-1, 64)[some])
+    return some[at] * 64 + place
+
+
+def _counted_neighbours(p: _Counted, q: _Counted, same: bool, rp: np.ndarray, rq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``_neighbours`` has, of counts."""
+    order = np.argsort(p.lengths, kind="stable")
+    ordered, runs = p.lengths[order], -(-len(order) // 64) * 64
+    # radii by steps, upwards: the same limits serve many rows
+    steps = (np.ceil(np.minimum(rq.astype(float), 8.0) * STEPS) / STEPS).tolist()
+    mine, lengths, known, own = rp[order].astype(float), q.lengths.tolist(), {}, {}
+    hit, ids, found = np.zeros(runs, bool), [], []
+    for j, product in _products(p.counts[order], q.counts):
+        key = (lengths[j], steps[j])
+        if key not in own:
+            if len(own) * runs > KEPT:
+                own.clear()
+            if key[0] not in known:
+                known[key[0]] = _least(_needed(ordered, key[0], mine), product.dtype)
+            own[key] = np.minimum(known[key[0]], _least(_needed(ordered, key[0], key[1]), product.dtype))
+        np.greater_equal(product, own[key], out=hit[: len(order)])
+        at = _places(hit)
+        ids.append((j, len(at)))
+        found.append((order[at], product[at]))
+    j = np.repeat([x for x, _ in ids], [n for _, n in ids]).astype(np.int64)
+    i, product = (np.concatenate(x) for x in zip(*found, strict=True))
+    if same:
+        once = i < j
+        i, j, product = i[once], j[once], product[once]
+    d = _count_distances(p.lengths[i], q.lengths[j], product.astype(float))
+    near = d * d <= np.maximum(rp[i], rq[j]) + SLACK
+    return i[near], j[near], d[near]
+
+
+def _count_distances(a: np.ndarray, b: np.ndarray | float, product: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((a > 0) * 1.0 + (np.asarray(b) > 0) - 2 * product / np.maximum(a * b, 1.0), 0))
+
+
+def _counted_between(p: _Counted, q: _Counted, same: bool, parts: tuple[np.ndarray, np.ndarray], cores: tuple[np.ndarray, np.ndarray], limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``_between`` has, of rows of counts: the lightest edge between each two parts that is below their limit, and of one limit all such."""
+    (pp, qp), one, limits = parts, len(limits) == 1, limits.copy()
+    lengths = q.lengths.tolist()
+    order = np.lexsort((p.lengths, pp))
+    ordered, hit = p.lengths[order], np.zeros(-(-len(order) // 64) * 64, bool)
+    starts = np.searchsorted(pp[order], np.arange(max(pp.max(), qp.max()) + 2)).tolist()
+    here, known = np.unique(pp), {}
+    tops = {b: float(limits[0, 0] if one else limits[here, b].max()) for b in np.unique(qp).tolist()}
+    best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    found: list[tuple] = []
+    held = 0
+
+    def lightest(found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, j, w = (np.concatenate(x) for x in zip(*found, strict=True))
+        a, b = pp[i], qp[j]
+        if same:
+            a, b = np.minimum(a, b), np.maximum(a, b)
+        at = np.lexsort((j, i, w, b, a))
+        at = at[np.r_[True, (a[at][1:] != a[at][:-1]) | (b[at][1:] != b[at][:-1])]] if len(at) else at
+        if not one:
+            limits[a[at], b[at]] = np.minimum(limits[a[at], b[at]], w[at])
+            limits[b[at], a[at]] = limits[a[at], b[at]]
+        return i[at], j[at], w[at]
+
+    for j, product in _products(p.counts[order], q.counts):
+        b = int(qp[j])
+        # in a block with itself each two parts meet once
+        lo, hi = (starts[b], len(order)) if same else (starts[b], starts[b + 1])
+        key = (lengths[j], tops[b])
+        if key not in known:
+            if len(known) * len(hit) > KEPT:
+                known.clear()
+            known[key] = _least(_needed(ordered, key[0], key[1] * key[1]), product.dtype)
+        np.greater_equal(product, known[key], out=hit[: len(order)])
+        hit[lo:hi] = False
+        at = _places(hit)
+        if not len(at):
+            continue
+        i = order[at]
+        w = np.maximum(np.maximum(_count_distances(p.lengths[i], lengths[j], product[at].astype(float)), cores[0][i]), cores[1][j])
+        lighter = w < (limits[0, 0] if one else limits[pp[i], b])
+        if lighter.any():
+            found.append((i[lighter], np.full(int(lighter.sum()), j), w[lighter]))
+            held += len(found[-1][0])
+            if held > HELD:
+                best, found, held = lightest([best, *found]), [], 0
+    return lightest([best, *found])
+
+
 def _distances(p: np.ndarray, q: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     out = np.zeros(len(i))
     for k in range(0, len(i), 4_096):
@@ -163,6 +344,9 @@ def _first_radius(b: _Block, k: int) -> np.ndarray:
 
 def _neighbours(p: _Block, q: _Block, same: bool, rp: np.ndarray, rq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of ``p``, row of ``q``, distance) of all pairs within the squared radius of either; of a block with itself each pair once."""
+    p, q = _alike(p, q)
+    if isinstance(p, _Counted):
+        return _counted_neighbours(p, q, same, rp, rq)
     found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     slack = np.float32(SLACK * (p.most + q.most))
     for rows, leaf, d in _near(p, q, same, lambda s: np.maximum(rp, rq[s].max())):
@@ -242,18 +426,26 @@ def parted(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, radius: np.ndarr
     return sure, part, limits
 
 
-def _between(p: _Block, q: _Block, same: bool, parts: tuple[np.ndarray, np.ndarray], cores: tuple[np.ndarray, np.ndarray], limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of ``p``, row of ``q``, weight): the lightest edge between each two parts that is below their limit. Rows are in the order of parts."""
+def _between(p: _Block, q: _Block, same: bool, parts: tuple[np.ndarray, np.ndarray], cores: tuple[np.ndarray, np.ndarray], limits: np.ndarray, radii: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``p``, row of ``q``, weight): the lightest edge between each two parts that is below their limit. Rows are in the order of parts.
+
+    With ``radii``, edges within the radius of an end are known and not sought.
+    """
     (pp, qp), one = parts, len(limits) == 1
-    # an edge is no shorter than the core distances of its ends
+    # an edge is no shorter than the core distances of its ends, and one that is sought longer than their radii
     kept = []
-    for mine, others, core in ((pp, qp, cores[0]), (qp, pp, cores[1])):
+    for mine, others, least in ((pp, qp, 0), (qp, pp, 1)):
         most = np.full(len(mine), limits[0, 0]) if one else limits[:, np.unique(others)].max(axis=1)[mine]
-        kept.append(np.flatnonzero(core < most))
+        kept.append(np.flatnonzero((cores if radii is None else radii)[least] < most))
     if not len(kept[0]) or not len(kept[1]):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    p, q = (_Block(x.v[k]) for x, k in ((p, kept[0]), (q, kept[1])))
     pp, qp, cores = pp[kept[0]], qp[kept[1]], (cores[0][kept[0]], cores[1][kept[1]])
+    p, q = _alike(p, q)
+    if isinstance(p, _Counted):
+        i, j, w = _counted_between(_Counted(p.counts[kept[0]]), _Counted(q.counts[kept[1]]), same, (pp, qp), cores, limits)
+        k = forest_of(np.minimum(pp[i], qp[j]), np.maximum(pp[i], qp[j]), w)
+        return kept[0][i[k]], kept[1][j[k]], w[k]
+    p, q = (_Block(x.v[k]) for x, k in ((p, kept[0]), (q, kept[1])))
     top, limits = np.float32(limits.max()), limits.copy()
     c2p, c2q = (c.astype(np.float32) ** 2 for c in cores)
     slack = np.float32(SLACK * (p.most + q.most))
@@ -354,13 +546,16 @@ def labelled(rows: DataFrame, group: str, key: str, min_size: int, tile: int = T
         v, copies = v[order], pdf["copies"].to_numpy()[order]
         b = _Block(v)
         first = _first_radius(b, near)
+        counts = _counts(v)
+        if counts is not None:
+            b = _Counted(counts)
         i, j, d = _neighbours(b, b, True, first, first)
         i, j, d = np.r_[i, j], np.r_[j, i], np.r_[d, d]
         radius = _radius(len(v), i, d, near)
         own = d <= radius[i]
         k = int(pdf["block"].iat[0])
         return pd.DataFrame(
-            [(pdf[group].iat[0], k, int(pdf["blocks"].iat[0]), list(pdf["code"].to_numpy()[order]), list(map(int, copies)), v.shape[1], _packed(v), radius.tobytes(), *_listed(i[own], (k << 32) + j[own], d[own], copies[j[own]]))],
+            [(pdf[group].iat[0], k, int(pdf["blocks"].iat[0]), list(pdf["code"].to_numpy()[order]), list(map(int, copies)), v.shape[1], _packed(v if counts is None else counts), radius.tobytes(), *_listed(i[own], (k << 32) + j[own], d[own], copies[j[own]]))],
             columns=[group, "block", "blocks", "codes", "copies", "dim", "data", "radius", *LISTS],
         )
 
@@ -384,7 +579,7 @@ def labelled(rows: DataFrame, group: str, key: str, min_size: int, tile: int = T
             return pd.DataFrame({c: [] for c in (group, "block", *LISTS)})
         (r, v, cv), (s, w, cw) = sides(pdf)
         rv, rw = np.frombuffer(r["radius"]), np.frombuffer(s["radius"])
-        i, j, d = _neighbours(_Block(v), _Block(w), False, (rv * rv).astype(np.float32), (rw * rw).astype(np.float32))
+        i, j, d = _neighbours(_block(v), _block(w), False, (rv * rv).astype(np.float32), (rw * rw).astype(np.float32))
         x, y = d <= rv[i], d <= rw[j]
         out = [(r[group], int(r["block"]), *_listed(i[x], (int(s["block"]) << 32) + j[x], d[x], cw[j[x]])), (s[group], int(s["block"]), *_listed(j[y], (int(r["block"]) << 32) + i[y], d[y], cv[i[y]]))]
         return pd.DataFrame(out, columns=[group, "block", *LISTS])
@@ -433,14 +628,14 @@ def labelled(rows: DataFrame, group: str, key: str, min_size: int, tile: int = T
         for r, v, _ in sides(pdf):
             parts = np.frombuffer(r["part"], np.int64)
             order = np.argsort(parts, kind="stable")
-            found.append((int(r["block"]) << 32, order, _Block(v[order]), parts[order], np.frombuffer(r["core"])[order]))
-        (x, xo, p, pp, pc), (y, yo, q, qp, qc) = found[0], found[-1]
+            found.append((int(r["block"]) << 32, order, _block(v[order]), parts[order], np.frombuffer(r["core"])[order], np.frombuffer(r["radius"])[order]))
+        (x, xo, p, pp, pc, pr), (y, yo, q, qp, qc, qr) = found[0], found[-1]
         limits = np.frombuffer(zlib.decompress(pdf["limits"].iat[0]))
-        i, j, w = _between(p, q, same, (pp, qp), (pc, qc), limits.reshape(round(len(limits) ** 0.5), -1))
+        i, j, w = _between(p, q, same, (pp, qp), (pc, qc), limits.reshape(round(len(limits) ** 0.5), -1), (pr, qr))
         a, b = x + xo[i], y + yo[j]
         return pd.DataFrame([(pdf[group].iat[0], np.minimum(a, b).tobytes(), np.maximum(a, b).tobytes(), w.tobytes())], columns=columns)
 
-    blocks = packed.select(group, "block", "blocks", "copies", "dim", "data").join(split.where("parts > 1").select(group, "block", "part", "limits"), [group, "block"]).join(cored.select(group, "block", "core"), [group, "block"])
+    blocks = packed.select(group, "block", "blocks", "copies", "dim", "data").join(split.where("parts > 1").select(group, "block", "part", "limits"), [group, "block"]).join(cored.select(group, "block", "core", "radius"), [group, "block"])
     edges = paired(blocks, True).applyInPandas(lightest, f"{group} {kind}, a binary, b binary, w binary").unionByName(split.select(group, "a", "b", "w"))
 
     def tree(blocks: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:

@@ -569,3 +569,30 @@ def test_vectors_too_sparse_for_an_edge_are_not_compared(monkeypatch):
     i, j, w = density._between(b, b, True, (part, part), (core, core), limits)
     d = np.sqrt(((v[:150, None] - v[None, 150:300]) ** 2).sum(axis=2))
     assert set(seen) == {300} and np.allclose(w, d.min()) and {part[i[0]], part[j[0]]} == {0, 1}
+
+
+def test_counts_are_compared_as_their_vectors():
+    rng = np.random.default_rng(23)
+    words = [f"w{i}" for i in range(300)]
+    sets = [rng.choice(words, 9, replace=False).tolist() for _ in range(12)]
+    texts = [" ".join([*sets[i % 12], *rng.choice(words, 5), *(["pump"] * (i % 4))]) for i in range(700)]
+    v = np.unique(np.round(hash_matrix([*texts, "", "pump " * 40, "pump " * 30 + "seal"]), 12), axis=0)
+    c = density._counts(v)
+    assert c is not None and c.dtype == np.uint8 and density._counts(v[1:] + 0.01) is None
+    assert (density._unpacked(density._packed(c), *c.shape) == c).all() and np.allclose(density._unpacked(density._packed(v), *v.shape), v, atol=0)
+    pairs = lambda i, j: set(zip(i.tolist(), j.tolist(), strict=True))
+    core = np.sort(np.sqrt(np.maximum((v * v).sum(axis=1)[:, None] + (v * v).sum(axis=1) - 2 * v @ v.T, 0)), axis=1)
+    radius, part = core[:, 6], rng.integers(0, 3, len(v))
+    order = np.argsort(part, kind="stable")
+    limits = np.where(np.eye(3) > 0, -1.0, 0.95)
+    for a, b, same in ((slice(0, 350), slice(350, None), False), (slice(None), slice(None), True)):
+        near = [density._neighbours(block(x[a]), block(x[b]), same, *((radius[s] ** 2).astype(np.float32) for s in (a, b))) for block, x in ((density._Block, v), (density._Counted, c))]
+        assert len(near[0][0]) > 500 and pairs(*near[0][:2]) == pairs(*near[1][:2]) and np.allclose(np.sort(near[0][2]), np.sort(near[1][2]))
+        i, j = order[a], order[b]
+        own = [density._between(block(x[i]), block(x[j]), same, (part[i], part[j]), (core[i, 2], core[j, 2]), limits) for block, x in ((density._Block, v), (density._Counted, c))]
+        assert len(own[0][2]) and np.allclose(np.sort(own[0][2]), np.sort(own[1][2]))
+        # what lies within a radius is known
+        assert not len(density._between(density._Counted(c[i]), density._Counted(c[j]), same, (part[i], part[j]), (core[i, 2], core[j, 2]), limits, (np.full(len(i), 0.95), np.full(len(j), 0.95)))[2])
+    few = np.arange(8)
+    every = np.full(8, np.inf, np.float32)
+    assert len(density._neighbours(density._Counted(c[few]), density._Counted(c[few]), True, every, every)[0]) == 28
